@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thicket.llm import bpe
+from thicket.llm import bpe, window_dedup
 
 #: Vocabulary of the byte-level BPE queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,8 +25,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
 
 
+def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete words of repeated windows of 20 words."""
+    kept = window_dedup.dedupe(_documents(spark, sf_dir), size=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_window_dedup": op9_window_dedup,
 }
 
 ORACLES: dict[str, str] = {}
