@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, simhash, window_dedup
+from thicket.llm import bpe, crf, simhash, window_dedup
 
 #: Vocabulary of the byte-level BPE queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _fold(divisor: int) -> Column:
+    """The remainder by which a contract holds out documents; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> crf.Model | None:
+    """The field fitted to the labels that may be learned from."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return crf.fit_from(docs, labels, _fold(3) != 1)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of whole texts by a linear-chain conditional random field."""
+    scored = crf.score_texts(_documents(spark, sf_dir).select("doc_id", "text"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text."""
     import public_tokenizers
@@ -39,6 +56,7 @@ def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_toxicity": op4_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_window_dedup": op9_window_dedup,
 }
