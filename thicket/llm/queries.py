@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, crf, simhash, window_dedup
+from thicket.llm import bpe, crf, language, simhash, window_dedup
 
 #: Vocabulary of the byte-level BPE queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,13 @@ def _fold(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole texts by a convolutional network over bytes."""
+    docs = _documents(spark, sf_dir)
+    model = language.fit_from(docs, _fold(5) != 0)
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> crf.Model | None:
     """The field fitted to the labels that may be learned from."""
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -56,6 +63,7 @@ def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_window_dedup": op9_window_dedup,
