@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, crf, language, simhash, window_dedup
+from thicket.llm import bpe, crf, gif, language, simhash, window_dedup
 
 #: Vocabulary of the byte-level BPE queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
 
 
+def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts stored as GIF samples, read back and summed up."""
+    return gif.round_trip(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delete words of repeated windows of 20 words."""
     kept = window_dedup.dedupe(_documents(spark, sf_dir), size=20)
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_gif": op7_gif,
     "op9_window_dedup": op9_window_dedup,
 }
 
