@@ -29,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thicket.llm import blockwise as B
 from thicket.llm import hashing as H
 
 PER_CLASS = 1500
-FIT_BYTES = 1 << 16
+FIT_BYTES = 1 << 15
 CHAIN = 64
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
@@ -179,17 +180,14 @@ def _distinct(texts: list[bytes]) -> list[int]:
 
 def token_labels(t: Tokens, toxic: np.ndarray) -> np.ndarray:
     """Tokens of toxic documents that hold a feature which toxic documents have beyond chance."""
-    share = toxic.mean()
-    mark, hashes, docs = np.zeros(len(t.doc), bool), [], []
-    kinds = t.features[: 1 + len(PREFIXES)]
-    for kind in kinds:
-        once = np.unique(np.stack([kind, t.doc.astype(H.U64)], axis=1), axis=0)
-        hashes.append(once[:, 0])
-        docs.append(once[:, 1].astype(np.int64))
-    looked_at = sum(len(np.unique(h)) for h in hashes)
-    for kind, h, d in zip(kinds, hashes, docs, strict=True):
-        keys, inverse = np.unique(h, return_inverse=True)
-        n, a = np.bincount(inverse), np.bincount(inverse, toxic[d])
+    share, found, looked_at = toxic.mean(), [], 0
+    for kind in t.features[: 1 + len(PREFIXES)]:
+        once = np.unique(H.mix(kind) ^ H.mix(t.doc.astype(H.U64)), return_index=True)[1]  # a feature counts once a document
+        keys, inverse = np.unique(kind[once], return_inverse=True)
+        found.append((kind, keys, np.bincount(inverse), np.bincount(inverse, toxic[t.doc[once]])))
+        looked_at += len(keys)
+    mark = np.zeros(len(t.doc), bool)
+    for kind, keys, n, a in found:
         p = np.clip(a / n, 1e-9, 1 - 1e-9)
         surprise = n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
         rare = (n - a) / (~toxic).sum() * toxic.sum() <= 0.05 * a
@@ -208,13 +206,15 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model | None:
     t = tokens(texts)
     label = token_labels(t, toxic).astype(float)
     fold = np.arange(len(texts)) % 4 == 3
-    keys, index = np.unique(np.concatenate(t.features), return_inverse=True)
-    index = index.reshape(len(t.features), -1)
-    # only features that some toxic token has can tell tags apart; the bias stands for all others
-    useful = np.zeros(len(keys), bool)
-    useful[np.unique(index[:, label > 0])] = True
-    w, bias, trans = np.zeros(len(keys)), -2.0, np.zeros((2, 2))
-    square_w, square_b, square_t = np.full(len(keys), 1e-2), 1e-2, np.full((2, 2), 1e-2)
+    # only features that some toxic token has can tell tags apart; the bias stands for all others, whose slot is the last
+    keys = np.unique(np.concatenate([kind[label > 0] for kind in t.features]))
+    index = np.stack([np.searchsorted(keys, kind).astype(np.int32) for kind in t.features])
+    for row, kind in zip(index, t.features, strict=True):
+        row[~B.is_among(kind, keys)] = len(keys)
+        row[row > len(keys)] = len(keys)
+    useful = np.r_[np.ones(len(keys)), 0.0]
+    w, bias, trans = np.zeros(len(useful)), -2.0, np.zeros((2, 2))
+    square_w, square_b, square_t = np.full(len(useful), 1e-2), 1e-2, np.full((2, 2), 1e-2)
     hot = np.unique(t.chain[label > 0])
     held = fold[t.doc]
     rng = np.random.Generator(np.random.PCG64(7))
@@ -232,9 +232,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model | None:
             emission = bias + (w[ids]).sum(axis=0)
             logits, forward, backward, _ = forward_backward(emission, chain, trans)
             error = _sigmoid(logits) - y
-            grad = np.zeros(len(keys))
-            for row in ids:
-                np.add.at(grad, row, error)
+            grad = sum(np.bincount(row, error, len(useful)) for row in ids)
             grad = (grad / 32 + 1e-4 * w) * useful
             square_w += grad**2
             w -= 0.5 * grad / np.sqrt(square_w)
@@ -251,8 +249,8 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model | None:
                 gt = ((joint.sum(axis=1) - seen) / 32).reshape(2, 2)
                 square_t += gt**2
                 trans -= 0.3 * gt / np.sqrt(square_t)
-    strong = np.abs(w) > 0.02
-    model = Model(Weights(keys[strong], w[strong]), float(bias), trans, np.zeros(3))
+    strong = np.abs(w[:-1]) > 0.02
+    model = Model(Weights(keys[strong], w[:-1][strong]), float(bias), trans, np.zeros(3))
     if not (fold & toxic).any():
         fold = np.ones(len(texts), bool)
     evidence, _ = model.evidence(t, len(texts))
