@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, crf, gif, language, simhash, window_dedup
+from thicket.llm import bpe, crf, gif, language, oph, simhash, window_dedup
 
 #: Vocabulary of the byte-level BPE queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_oph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-permutation MinHash of whole texts, their edited texts and their next documents."""
+    pairs = oph.edited_pairs(_documents(spark, sf_dir))
+    return pairs.select(
+        "doc_id",
+        F.col("n_chars").cast("long"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        oph.packed(F.col("bins")).alias("fingerprint"),
+        oph.packed(F.col("edited_bins")).alias("edited_fingerprint"),
+        oph.likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"),
+        oph.likeness(F.col("bins"), F.col("next_bins")).alias("near_next"),
+    )
+
+
 def _fold(divisor: int) -> Column:
     """The remainder by which a contract holds out documents; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string")) % divisor
@@ -68,6 +82,7 @@ def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_oph": op2_oph,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
