@@ -21,11 +21,12 @@ import base64
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Longer texts (in characters) are cut at safe boundaries near this length.
@@ -114,21 +115,24 @@ def _decimal(path: str, pattern: str) -> list[bytes]:
     return [b"%d" % i for i in range(encoding(path, pattern).n_vocab)]
 
 
-def round_trip(frame: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Encode and decode in one pass and keep digests: n_tokens, ids_sha256 (ids in decimal, joined by commas) and decoded_sha256.
-
-    The ids of a text live in one worker only while its row is handled, which
-    keeps the output small where the ids themselves aren't wanted.
-    """
-    schema = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
+def round_trip(frame: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: n_tokens, ids_sha256 (of ids in decimal, joined by commas), decoded_sha256, and with ``keep_ids`` the ids."""
+    fields = [T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)]
+    fields += [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)] * keep_ids
 
     def make(part):
-        spelled, counts, ids_sha, text_sha = _decimal(path, pattern), [], [], []
+        spelled, counts, ids_sha, text_sha, kept = _decimal(path, pattern), [], [], [], []
         for x in part.column(part.schema.get_field_index(text)).to_pylist():
             got = encode(x, path, pattern)
             counts.append(len(got))
             ids_sha.append(hashlib.sha256(b",".join([spelled[i] for i in got])).hexdigest())
             text_sha.append(hashlib.sha256(decode(got, path, pattern)).hexdigest())
-        return [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
-
-    return _batches(frame.select(*[F.col(f"`{c}`") for c in frame.columns]), schema, make)
+            if keep_ids:
+                kept.append(array("i", got))
+        new = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        if keep_ids:
+            flat = np.concatenate([np.frombuffer(x, np.int32) for x in kept]) if kept else np.empty(0, np.int32)
+            new.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat)).cast(pa.list_(pa.field("element", pa.int32(), False))))
+        return new
+
+    return _batches(frame, T.StructType(fields), make)

@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _ready(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -12,8 +20,10 @@ def cut(frame: DataFrame) -> DataFrame:
 
     A folder of our own is made only where that setting is empty, as in tests.
     """
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    _ready(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, for tables."""
+    return f"{_ready(spark)}/{uuid.uuid4().hex}"

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, crf, gif, language, line_dedup, oph, simhash, window_dedup
+from thicket.llm import bpe, crf, gif, language, line_dedup, mixing, oph, simhash, window_dedup
 
+#: Most times that mixing repeats a source.
+REPEATS = 2.0
 #: Vocabulary of the byte-level BPE queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -74,6 +76,42 @@ def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.round_trip(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws that mix sources by a temperature under which none is repeated more than twice."""
+    return mixing.draws(_documents(spark, sf_dir), max_repeats=REPEATS)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens FROM documents
+), sums AS (
+  SELECT source, sum(tokens)::BIGINT AS t FROM docs GROUP BY source
+), ends AS (
+  SELECT max(t)::DOUBLE AS largest, min(t)::DOUBLE AS smallest FROM sums WHERE t > 0
+), bisect AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, largest, smallest FROM ends
+  UNION ALL
+  SELECT step + 1,
+         CASE WHEN pow(largest / smallest, 1.0 - (low + high) / 2) <= 2.0 THEN low ELSE (low + high) / 2 END,
+         CASE WHEN pow(largest / smallest, 1.0 - (low + high) / 2) <= 2.0 THEN (low + high) / 2 ELSE high END,
+         largest, smallest
+  FROM bisect WHERE step < 60
+), parts AS (
+  SELECT source, t, CASE WHEN t > 0 THEN greatest(t, floor(pow(largest, 1.0 - high) * pow(t::DOUBLE, high) + 0.5)::BIGINT) ELSE t END AS part
+  FROM sums, bisect WHERE step = 60
+), plan AS (
+  SELECT source, CASE WHEN t > 0 THEN part // t ELSE 1 END AS blocks, part - CASE WHEN t > 0 THEN part // t ELSE 1 END * t AS rest FROM parts
+), rows AS (
+  SELECT doc_id, source, tokens, blocks, rest, unnest(generate_series(0, blocks - CASE WHEN rest > 0 THEN 0 ELSE 1 END)) AS block FROM docs JOIN plan USING (source)
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) - tokens AS used
+  FROM (SELECT *, md5(concat('42:', source, ':', block, ':', doc_id)) AS k FROM rows)
+  WINDOW w AS (PARTITION BY source, block ORDER BY k, doc_id, tokens)
+)
+SELECT doc_id, source, block::BIGINT AS block, place::BIGINT AS place, tokens FROM placed WHERE block < blocks OR used < rest
+"""
+
+
 def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delete words of repeated windows of 20 words."""
     kept = window_dedup.dedupe(_documents(spark, sf_dir), size=20)
@@ -128,10 +166,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_gif": op7_gif,
+    "op8_mixing": op8_mixing,
     "op9_window_dedup": op9_window_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
 }

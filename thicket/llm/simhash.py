@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.components import components
@@ -62,14 +62,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(frame: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) for every row."""
+    """doc_id, th (a hash of the text) and fp (the fingerprint's 64 bits as a signed long) for every row."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x, words) for x in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return frame.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    body = F.col(text).cast("string")
+    return frame.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(body).alias("th"), body.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
+
+
+def text_hash(text) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -186,11 +191,27 @@ def links(fps: DataFrame) -> DataFrame:
     return rows.repartition("which", "pattern").sortWithinPartitions("which", "pattern").mapInArrow(_search, "a long, b long").distinct()
 
 
+def _roots(docs: DataFrame) -> DataFrame:
+    """(fp, root): the least linked fingerprint of each distinct one."""
+    distinct = cut(docs.select("fp").distinct())
+    roots = components(links(distinct)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(frame: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the smallest id linked to it, itself included) for every row."""
-    docs = cut(fingerprints(frame, id_col, text, words))
-    least = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(least.select("fp"))).select(F.col("node").alias("fp"), "root")
-    member = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    docs = cut(fingerprints(frame, id_col, text, words).drop("th"))
+    least = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    member = cut(least.join(_roots(docs), "fp"))
     named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(frame: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """The rows of ``frame`` without those whose group has one with a smaller id (null: after all others), or an equal id and a smaller hash of its text. All columns stay; rows equal in id and text become one."""
+    docs = cut(fingerprints(frame, id_col, text, words))
+    first = docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    stay = first.join(_roots(docs), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t"))
+    key = frame.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", text_hash(F.col(text).cast("string")))
+    kept = key.join(stay, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left_semi")
+    return kept.dropDuplicates(["__id", "__th"]).drop("__id", "__th")
