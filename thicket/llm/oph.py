@@ -35,6 +35,8 @@ BINS = 1 << BIN_BITS
 BITS = 8
 _VALUE = 63 - BIN_BITS
 _LARGEST = (1 << _VALUE) - 1
+#: Stands for a null id while rows are matched.
+_NONE = -(1 << 63)
 #: Bins tried before the whole order is.
 _TRIES = 16
 
@@ -115,10 +117,14 @@ def edited_pairs(frame: DataFrame, id_col: str = "doc_id", text: str = "text") -
     follows = next_ids(docs.select("doc_id").filter("doc_id is not null").distinct())
     first = docs.agg(F.max("doc_id").alias("first_id"))
     asked = light.join(follows, "doc_id", "left").crossJoin(F.broadcast(first)).select(F.col("doc_id").alias("asker"), F.col("k").alias("asked"), F.coalesce("next_id", "first_id").alias("next_id"))
-    whole = _with_bins(docs, "text", "bins").select("doc_id", "text", F.char_length("text").alias("n_chars"), F.floor(F.char_length("text") / 3).cast("int").alias("k"), "bins").repartition("doc_id")
-    given = whole.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("next_id")).select("asker", "asked", F.struct(F.expr("substring(text, 1, asked)").alias("begin"), F.col("bins")).alias("given"))
-    given = given.groupBy("asker", "asked").agg(F.max("given").alias("given"))
-    both = whole.join(given, F.col("doc_id").eqNullSafe(F.col("asker")) & (F.col("k") == F.col("asked")), "left")
-    edited = F.concat(F.expr("substring(text, 1, n_chars - k)"), F.coalesce("given.begin", F.expr("substring(text, 1, k)")))
-    both = both.select("doc_id", "n_chars", edited.alias("edited"), "bins", F.coalesce("given.bins", "bins").alias("next_bins"))
+    # both uses of the whole texts ask for the same columns by a key that is never null, so they share one exchange
+    key = F.coalesce("doc_id", F.lit(_NONE))
+    whole = _with_bins(docs, "text", "bins").select(key.alias("d"), "text", "bins").repartition("d")
+    given = whole.join(asked.hint("shuffle_hash"), F.col("d") == F.col("next_id")).select(F.coalesce("asker", F.lit(_NONE)).alias("asker"), F.struct("asked", F.expr("substring(text, 1, asked)").alias("begin"), F.col("bins")).alias("given"))
+    given = given.groupBy("asker").agg(F.collect_list("given").alias("given"))
+    chars, third = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
+    # rows of one id ask for as many beginnings as they have lengths, so one for a proper key
+    both = whole.join(given, F.col("d") == F.col("asker"), "left").withColumn("third", third).withColumn("given", F.array_max(F.filter("given", lambda g: g["asked"] == F.col("third"))))
+    edited = F.concat(F.substring("text", F.lit(1), chars - third), F.coalesce("given.begin", F.substring("text", F.lit(1), third)))
+    both = both.select(F.when(F.col("d") != _NONE, F.col("d")).alias("doc_id"), chars.alias("n_chars"), edited.alias("edited"), "bins", F.coalesce("given.bins", "bins").alias("next_bins"))
     return _with_bins(both, "edited", "edited_bins")
