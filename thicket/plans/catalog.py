@@ -1,14 +1,374 @@
-"""The registered structural-search queries and their SQL counterparts."""
+"""The registered structural-search queries and their SQL counterparts.
+
+Tables are seen as files: ``documents`` and ``conversations`` by the text grammar,
+``pages`` by the HTML grammar. Every query runs over its whole table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from thicket.functions import sieve, trigram
+from thicket.operators import index, rewrite, search, symbols
+from thicket.operators.parse import parse_files
+from thicket.sources import scan, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+FLAGSHIP = '(document (line . (word) @first (#match? @first "^[A-Z]")))'
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Lines' first words that start with a capital."""
+    return search.search(tables.documents(spark, sf_dir), [FLAGSHIP], "text")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+#: Lines and words of documents with their byte places, as DuckDB finds them.
+_TREE = r"""
+WITH raw AS (
+  SELECT doc_id, source || '/' || doc_id || '.' || lang AS path, string_split(text, chr(10)) AS parts FROM documents
+), line AS (
+  SELECT doc_id, path, unnest(parts) AS body, generate_subscripts(parts, 1) AS no FROM raw
+), placed AS (
+  SELECT *, octet_length(encode(body)) AS size,
+         coalesce(sum(octet_length(encode(body)) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM line
+), piece AS (
+  SELECT doc_id, path, no, start, unnest(string_split(body, ' ')) AS body, generate_subscripts(string_split(body, ' '), 1) AS nr FROM placed
+), spot AS (
+  SELECT *, octet_length(encode(body)) AS size,
+         coalesce(sum(octet_length(encode(body)) + 1) OVER (PARTITION BY doc_id, no ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col
+  FROM piece
+), word AS (
+  SELECT doc_id, path, no, start + col AS start, col, size, body,
+         row_number() OVER (PARTITION BY doc_id, no ORDER BY nr) AS idx,
+         count(*) OVER (PARTITION BY doc_id, no) AS siblings,
+         lead(body) OVER (PARTITION BY doc_id, no ORDER BY nr) AS after,
+         lag(body) OVER (PARTITION BY doc_id, no ORDER BY nr) AS before
+  FROM spot WHERE body <> ''
+)
+"""
+
+
+def _words(capture: str, where: str = "true") -> str:
+    return f"""SELECT path AS file_path, no::INTEGER AS start_line, col::INTEGER AS start_col, no::INTEGER AS end_line, (col + size)::INTEGER AS end_col,
+  start::BIGINT AS start_byte, (start + size)::BIGINT AS end_byte, '{capture}' AS capture_name, body AS matched_text FROM word WHERE {where}"""
+
+
+def _lines(capture: str, where: str = "true") -> str:
+    return f"""SELECT path AS file_path, no::INTEGER AS start_line, 0 AS start_col, no::INTEGER AS end_line, size::INTEGER AS end_col,
+  start::BIGINT AS start_byte, (start + size)::BIGINT AS end_byte, '{capture}' AS capture_name, body AS matched_text FROM placed WHERE body <> '' AND ({where})"""
+
+
+def _pattern(name: str, queries: list[str], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.search(tables.documents(spark, sf_dir), queries, "text")
+
+    run.__name__ = name
+    query(_TREE + sql)(run)
+
+
+_pattern("match_kind_word", ["(word) @w"], _words("w"))
+_pattern("match_kind_line", ["(line) @l"], _lines("l"))
+_pattern("match_first_child", [FLAGSHIP], _words("first", "idx = 1 AND regexp_matches(body, '^[A-Z]')"))
+_pattern("match_last_child", ["(line (word) @last .)"], _words("last", "idx = siblings"))
+_pattern("match_adjacent", ['(line (word) @a . (word) @b (#eq? @a "the"))'], _words("a", "body = 'the' AND after IS NOT NULL") + " UNION " + _words("b", "before = 'the'"))
+_pattern("match_eq", ['(word) @w (#eq? @w "idiot")'], _words("w", "body = 'idiot'"))
+_pattern("match_not_eq", ['(line . (word) @w (#not-eq? @w "The"))'], _words("w", "idx = 1 AND body <> 'The'"))
+_pattern("match_any_of", ['(word) @w (#any-of? @w "de" "und" "la")'], _words("w", "body IN ('de', 'und', 'la')"))
+_pattern("match_regex", ['(word) @w (#match? @w "^[a-z]+ing$")'], _words("w", "regexp_matches(body, '^[a-z]+ing$')"))
+_pattern("match_field", ['(line word: (word) @w (#eq? @w "a"))'], _words("w", "body = 'a'"))
+_pattern("match_two_predicates", ['(word) @w (#match? @w "^th") (#not-eq? @w "the")'], _words("w", "body LIKE 'th%' AND body <> 'the'"))
+_pattern("match_wildcard", ['(line . (_) @first (#match? @first "\\\\.$"))'], _words("first", "idx = 1 AND body LIKE '%.'"))
+_pattern("match_nested_two_captures", ['(line . (word) @w (#eq? @w "Is")) @l'], _words("w", "idx = 1 AND body = 'Is'") + " UNION " + _lines("l", "(doc_id, no) IN (SELECT (doc_id, no) FROM word WHERE idx = 1 AND body = 'Is')"))
+_pattern("multi_query_dedup", ['(word) @w (#match? @w "^and")', '(word) @w (#any-of? @w "and" "or")'], _words("w", "body LIKE 'and%'") + " UNION " + _words("w", "body IN ('and', 'or')"))
+
+
+@query(_TREE + "SELECT path AS file_path, count(*) AS matches, min(no)::INTEGER AS first_line FROM word WHERE body = 'the' GROUP BY path")
+def matches_per_file(spark, sf_dir):
+    """Matches and first matching line of each file."""
+    found = search.search(tables.documents(spark, sf_dir), ['(word) @w (#eq? @w "the")'], "text")
+    return found.groupBy("file_path").agg(F.count("*").alias("matches"), F.min("start_line").alias("first_line"))
+
+
+@query(_TREE + ", hit AS (SELECT * FROM word WHERE body = 'idiot') SELECT (SELECT count(*) FROM documents) AS files_parsed, (SELECT count(DISTINCT path) FROM hit) AS files_with_matches, (SELECT count(*) FROM hit) AS matches, (SELECT count(DISTINCT path) FROM hit) * 100.0::DOUBLE / (SELECT count(*) FROM documents) AS match_rate")
+def search_stats(spark, sf_dir):
+    files = tables.documents(spark, sf_dir)
+    return search.stats(files, search.search(files, ['(word) @w (#eq? @w "idiot")'], "text"))
+
+
+@query(_TREE + "SELECT path || ':' || no || ':' || col || '  [@w]  \"' || body || '\"' AS line FROM word WHERE body = 'moron'")
+def output_lines(spark, sf_dir):
+    return search.lines(search.search(tables.documents(spark, sf_dir), ['(word) @w (#eq? @w "moron")'], "text"))
+
+
+@query(_TREE + ", hit AS (SELECT DISTINCT path, no, col, body FROM word WHERE body = 'clown') SELECT path AS file_path, no::INTEGER AS start_line, col::INTEGER AS start_col, row_number() OVER (ORDER BY string_split(path, '/'), no, col) AS place FROM hit")
+def sorted_component_order(spark, sf_dir):
+    """The order by path components, as a column; few rows match."""
+    found = search.search(tables.documents(spark, sf_dir), ['(word) @w (#eq? @w "clown")'], "text")
+    ranked = F.row_number().over(Window.orderBy(F.split("file_path", "/"), "start_line", "start_col")).cast("long")
+    return found.select("file_path", "start_line", "start_col", ranked.alias("place"))
+
+
+@query(_TREE + "SELECT doc_id AS file_id, 'document' AS kind, 1::BIGINT AS nodes, 0 AS max_depth FROM raw UNION ALL SELECT doc_id, 'line', count(*), 1 FROM placed GROUP BY doc_id UNION ALL SELECT doc_id, 'word', count(*), 2 FROM word GROUP BY doc_id")
+def node_counts(spark, sf_dir):
+    """Nodes of each kind in each file."""
+    nodes = parse_files(tables.documents(spark, sf_dir), with_text=False)
+    return nodes.groupBy("file_id", "kind").agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))
+
+
+@query(r"""WITH turns AS (SELECT conv_id, turn, role, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM conversations)
+SELECT conv_id || '/' || turn || '.' || role AS file_path, count(*) AS matches FROM turns WHERE w = 'the' GROUP BY ALL""")
+def conversation_words(spark, sf_dir):
+    found = search.search(tables.conversations(spark, sf_dir), ['(word) @w (#eq? @w "the")'], "text")
+    return search.matches_per_file(found)
+
+
+@query(r"SELECT page_id AS file_id, x AS link, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS x FROM pages) WHERE x <> '' GROUP BY ALL")
+def html_links(spark, sf_dir):
+    """Targets of links by page."""
+    files = tables.pages(spark, sf_dir)
+    found = search.search(files, ['(attribute (attribute_name) @n (quoted_attribute_value (attribute_value) @href) (#eq? @n "href"))'], "html")
+    named = files.select("file_id", F.col("path").alias("file_path"))
+    return found.filter("capture_name = 'href'").join(named, "file_path").groupBy("file_id", F.col("matched_text").alias("link")).agg(F.count("*").alias("links"))
+
+
+@query(r"SELECT page_id AS file_id, lower(t) AS tag, count(*) AS tags FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6]|title|p|a|li)[\s>]', 1)) AS t FROM pages) GROUP BY ALL")
+def html_tags(spark, sf_dir):
+    nodes = parse_files(tables.pages(spark, sf_dir), {"tag_name"})
+    opened = parse_files(tables.pages(spark, sf_dir), {"start_tag"}, with_text=False).select("file_id", F.col("node_id").alias("parent_id"))
+    found = nodes.join(opened, ["file_id", "parent_id"]).withColumn("tag", F.lower("text")).filter(F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6", "title", "p", "a", "li"))
+    return found.groupBy("file_id", "tag").agg(F.count("*").alias("tags"))
+
+
+_LANGUAGES = "CASE " + " ".join(f"WHEN e IN ({', '.join(repr(x) for x in xs)}) THEN '{k}'" for k, xs in scan.EXTENSIONS.items()) + " END"
+
+
+@query(f"WITH p AS (SELECT doc_id, 'src/' || source || '/f' || doc_id || CASE doc_id % 9 WHEN 0 THEN '.rs' WHEN 1 THEN '.PY' WHEN 2 THEN '.tsx' WHEN 3 THEN '.h' WHEN 4 THEN '.cc' WHEN 5 THEN '.go' WHEN 6 THEN '.mjs' WHEN 7 THEN '.txt' ELSE '' END AS path FROM documents), x AS (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS e FROM p) SELECT doc_id, path, {_LANGUAGES} AS language FROM x")
+def lang_dispatch(spark, sf_dir):
+    """Languages of paths by extension."""
+    ends = F.element_at(F.array(*map(F.lit, [".rs", ".PY", ".tsx", ".h", ".cc", ".go", ".mjs", ".txt", ""])), (F.col("doc_id") % 9 + 1).cast("int"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat(F.lit("src/"), "source", F.lit("/f"), F.col("doc_id").cast("string"), ends)
+    return docs.select("doc_id", path.alias("path")).withColumn("language", scan.language_of(F.col("path")))
+
+
+_DIRS = ", ".join(repr(x) for x in scan.EXCLUDED)
+
+
+@query(f"WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a/target/x.rs' WHEN 1 THEN 'a/target.rs' WHEN 2 THEN '.git/' || page_id ELSE 'node_modules_x/y.js' END AS path FROM pages) SELECT page_id, path, len(list_filter(list_slice(string_split(path, '/'), 1, -2), lambda d: d IN ({_DIRS}))) > 0 AS excluded FROM p")
+def excluded_dirs(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = F.when(F.col("page_id") % 4 == 0, "a/target/x.rs").when(F.col("page_id") % 4 == 1, "a/target.rs").when(F.col("page_id") % 4 == 2, F.concat(F.lit(".git/"), F.col("page_id").cast("string"))).otherwise("node_modules_x/y.js")
+    return pages.select("page_id", path.alias("path")).withColumn("excluded", scan.in_excluded(F.col("path")))
+
+
+@query("SELECT doc_id, doc_id % 5 = 0 AS is_binary FROM documents")
+def binary_sniff(spark, sf_dir):
+    """Every fifth text gets a zero byte, or a byte that isn't UTF-8, in front."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    front = F.when(F.col("doc_id") % 10 == 0, F.lit(bytearray(b"\0"))).when(F.col("doc_id") % 5 == 0, F.lit(bytearray(b"\xff"))).otherwise(F.lit(bytearray(b"")))
+    # short enough that the cut at the test's last byte can't part a character
+    content = F.concat(front, F.encode(F.substring("text", 1, 2000), "UTF-8"))
+    return docs.select("doc_id", scan.is_binary(content).alias("is_binary"))
+
+
+_GRAMS = """WITH g AS (SELECT p_partkey, upper(hex(encode(p_name))) AS h, octet_length(encode(p_name)) AS n FROM part),
+grams AS (SELECT p_partkey, unnest(generate_series(0, n - 3)) AS i, h FROM g WHERE n >= 3), t AS (SELECT p_partkey, substr(h, (2 * i + 1)::BIGINT, 6) AS trigram FROM grams)"""
+
+
+def _part_grams(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.explode(trigram.trigrams(F.col("p_name"))).alias("trigram"))
+
+
+@query(_GRAMS + " SELECT trigram, count(*) AS uses, count(DISTINCT p_partkey) AS parts FROM t GROUP BY trigram")
+def trigrams_part(spark, sf_dir):
+    return _part_grams(spark, sf_dir).groupBy("trigram").agg(F.count("*").alias("uses"), F.countDistinct("p_partkey").alias("parts"))
+
+
+@query(_GRAMS + " SELECT p_partkey, count(*) AS total, count(DISTINCT trigram) AS distinct_trigrams FROM t GROUP BY p_partkey")
+def trigram_counts(spark, sf_dir):
+    return _part_grams(spark, sf_dir).groupBy("p_partkey").agg(F.count("*").alias("total"), F.countDistinct("trigram").alias("distinct_trigrams"))
+
+
+def _fnv(seed: int) -> str:
+    h = str(seed)
+    for i in range(3):
+        h = f"((xor({h}, ('0x' || substr(trigram, {2 * i + 1}, 2))::INTEGER) * {trigram.PRIME}) % {trigram.BITS})"
+    return h
+
+
+_BITS = _GRAMS + f", bits AS (SELECT DISTINCT p_partkey, b FROM (SELECT p_partkey, unnest([{_fnv(trigram.SEEDS[0])}, {_fnv(trigram.SEEDS[1])}]) AS b FROM t))"
+
+
+def _part_bits(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return trigram.with_bits(parts.select("p_partkey", "p_name", F.col("p_name").cast("binary").alias("content")))
+
+
+@query(_BITS + " SELECT p_partkey, string_agg(b::VARCHAR, ',' ORDER BY b) AS bits FROM bits GROUP BY p_partkey")
+def bloom_bits(spark, sf_dir):
+    return _part_bits(spark, sf_dir).select("p_partkey", F.array_join(F.col("bits").cast("array<string>"), ",").alias("bits"))
+
+
+@query(_BITS + " SELECT p_partkey, count(*)::INTEGER AS bit_count, pow(count(*) / 4096.0::DOUBLE, 2.0::DOUBLE) AS fpr FROM bits GROUP BY p_partkey")
+def bloom_fpr(spark, sf_dir):
+    return _part_bits(spark, sf_dir).select("p_partkey", F.size("bits").alias("bit_count"), trigram.false_positive_rate(F.col("bits")).alias("fpr"))
+
+
+def _wanted(text: str) -> list[int]:
+    return trigram.bits_of(text.encode())
+
+
+@query(_BITS + f" SELECT p_partkey, count(*) FILTER (WHERE b IN ({', '.join(map(str, _wanted('metal')))})) = {len(_wanted('metal'))} AS candidate FROM bits GROUP BY p_partkey")
+def sieve_candidates(spark, sf_dir):
+    """Which names' filters allow for a query that requires a text."""
+    return _part_bits(spark, sf_dir).select("p_partkey", sieve.accepts(F.col("bits"), ['(word) @w (#eq? @w "metal")']).alias("candidate"))
+
+
+@query("SELECT 0::BIGINT AS lost, count(*) FILTER (WHERE contains(text, 'idiot')) AS holding FROM documents")
+def sieve_no_false_negatives(spark, sf_dir):
+    """No file that holds the text is rejected."""
+    files = tables.documents(spark, sf_dir)
+    seen = index.entries(files).select("path", sieve.accepts(F.col("bits"), ['(word) @w (#eq? @w "idiot")']).alias("ok"))
+    both = files.select("path", F.contains(F.col("content").cast("string"), F.lit("idiot")).alias("holds")).join(seen, "path")
+    return both.agg(F.count_if(F.col("holds") & ~F.col("ok")).alias("lost"), F.count_if("holds").alias("holding"))
+
+
+def _walk(spark, sf_dir):
+    """Documents as files with times, and what an earlier walk over them recorded."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = tables.documents(spark, sf_dir).withColumn("mtime_secs", F.col("file_id") % 97)
+    earlier = docs.filter("doc_id % 7 <> 3").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("path"), (F.col("doc_id") % 97 + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("mtime_secs"), F.octet_length("text").cast("long").alias("file_size_bytes"), F.array().cast("array<int>").alias("bits"), F.lit("text").alias("language"))
+    return files, earlier
+
+
+@query("SELECT source || '/' || doc_id || '.' || lang AS path, CASE WHEN doc_id % 7 = 3 THEN 'not_indexed' WHEN doc_id % 5 = 0 THEN 'stale' ELSE 'fresh' END AS status FROM documents")
+def index_status(spark, sf_dir):
+    return index.status(*_walk(spark, sf_dir)).select("path", "status")
+
+
+@query("SELECT source || '/' || doc_id || '.' || lang AS path FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 3 = 0")
+def index_removed(spark, sf_dir):
+    """Entries whose files are gone: every third is."""
+    files, earlier = _walk(spark, sf_dir)
+    return index.removed(earlier, files.filter("file_id % 3 <> 0")).select("path")
+
+
+@query("SELECT source || '/' || doc_id || '.' || lang AS path FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 3 <> 0")
+def index_kept(spark, sf_dir):
+    files, earlier = _walk(spark, sf_dir)
+    return index.kept(earlier, files.filter("file_id % 3 <> 0")).select("path")
+
+
+_SYMBOLS = "WITH sym AS (SELECT 'part/' || (p_partkey % 50) || '.txt' AS path, CASE p_size % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'struct' WHEN 2 THEN 'class' ELSE 'import' END AS kind, p_name AS name, p_partkey::INTEGER AS start_line, 0 AS start_col FROM part)"
+
+
+def _symbols(spark, sf_dir):
+    """Part names as symbols of 50 files."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    kind = F.element_at(F.array(*map(F.lit, ["function", "struct", "class", "import"])), F.col("p_size").cast("int") % 4 + 1)
+    return parts.select(F.concat(F.lit("part/"), (F.col("p_partkey") % 50).cast("string"), F.lit(".txt")).alias("path"), kind.alias("kind"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("start_line"), F.lit(0).alias("start_col"))
+
+
+_SHOWN = " SELECT path, kind, name, start_line, start_col FROM "
+
+
+@query(_SYMBOLS + _SHOWN + "sym WHERE name = (SELECT min(name) FROM sym)")
+def symbols_exact(spark, sf_dir):
+    found = _symbols(spark, sf_dir)
+    return found.join(found.agg(F.min("name").alias("name")), "name").select("path", "kind", "name", "start_line", "start_col")
+
+
+@query(_SYMBOLS + _SHOWN + "sym WHERE name ILIKE 's%' ORDER BY name, path, start_line, start_col LIMIT 100")
+def symbols_prefix_limit100(spark, sf_dir):
+    return symbols.prefix(_symbols(spark, sf_dir), "S")
+
+
+@query(_SYMBOLS + _SHOWN + "sym WHERE name ILIKE '%re_%'")
+def symbols_contains(spark, sf_dir):
+    return symbols.contains(_symbols(spark, sf_dir), "Re_")
+
+
+@query(_SYMBOLS + _SHOWN + "sym WHERE kind = 'struct'")
+def symbols_by_kind(spark, sf_dir):
+    return symbols.by_kind(_symbols(spark, sf_dir), "struct")
+
+
+@query(_SYMBOLS + _SHOWN + "sym WHERE CASE WHEN (SELECT count(*) FROM sym WHERE name = 'e') > 0 THEN name = 'e' ELSE name ILIKE '%e%' END")
+def symbols_exact_else_contains(spark, sf_dir):
+    return symbols.exact_else_contains(_symbols(spark, sf_dir), "e")
+
+
+@query(_SYMBOLS + " SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY start_line, start_col) AS place FROM sym")
+def symbols_file_order(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("path").orderBy("start_line", "start_col")).cast("long")
+    return _symbols(spark, sf_dir).select("path", "name", place.alias("place"))
+
+
+@query(_SYMBOLS + " SELECT s.path, name, kind, start_line, CASE WHEN split_part(replace(s.path, '.txt', ''), '/', 2)::INTEGER % 2 = 0 THEN 'rust' ELSE 'go' END AS language FROM sym s WHERE kind = 'class' AND split_part(replace(s.path, '.txt', ''), '/', 2)::INTEGER % 2 = 0 AND name ILIKE 's%' AND (name, s.path, start_line) IN (SELECT (name, path, start_line) FROM sym WHERE name ILIKE 's%' ORDER BY name, path, start_line, start_col LIMIT 100)")
+def lookup_join_file(spark, sf_dir):
+    """A prefix lookup, whose limit comes before the filters of kind and language."""
+    found = _symbols(spark, sf_dir)
+    files = found.select("path").distinct().withColumn("language", F.when(F.regexp_extract("path", r"(\d+)", 1).cast("int") % 2 == 0, "rust").otherwise("go"))
+    return symbols.lookup(found, files, start="s", kind="class", lang="rust").select("path", "name", "kind", "start_line", "language")
+
+
+@query(_SYMBOLS + " SELECT path, name FROM sym WHERE split_part(replace(path, '.txt', ''), '/', 2)::INTEGER % 3 = 0")
+def symbols_orphans(spark, sf_dir):
+    found = _symbols(spark, sf_dir)
+    known = found.select("path").distinct().filter(F.regexp_extract("path", r"(\d+)", 1).cast("int") % 3 != 0)
+    return symbols.orphans(found, known).select("path", "name")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substr(text, 1, 500) || '…' END AS signature FROM documents")
+def signature_truncate(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", symbols.shortened(F.col("text"), symbols.SIGNATURE).alias("signature"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 40) || '…' END AS preview FROM documents")
+def text_preview(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", symbols.shortened(F.col("text"), symbols.PREVIEW).alias("preview"))
+
+
+_HITS = '(word) @w (#match? @w "^th[a-z]*ing$")'
+
+
+@query(_TREE + "SELECT path AS file_path, start::BIGINT AS start_byte, (start + size)::BIGINT AS end_byte, '<' || body || '>' AS new_text FROM word WHERE regexp_matches(body, '^th[a-z]*ing$')")
+def rewrite_edits(spark, sf_dir):
+    return rewrite.edits(search.search(tables.documents(spark, sf_dir), [_HITS], "text"), "<@w>")
+
+
+@query(r"""WITH l AS (SELECT source || '/' || doc_id || '.' || lang AS file_path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+w AS (SELECT file_path, no, unnest(string_split(line, ' ')) AS body, generate_subscripts(string_split(line, ' '), 1) AS nr FROM l),
+hit AS (SELECT *, regexp_matches(body, '^th[a-z]*ing$') AS yes FROM w),
+j AS (SELECT file_path, no, string_agg(CASE WHEN yes THEN '<' || body || '>' ELSE body END, ' ' ORDER BY nr) AS line, count(*) FILTER (WHERE yes) AS n FROM hit GROUP BY file_path, no)
+SELECT file_path, md5(string_agg(line, chr(10) ORDER BY no)) AS rewritten_md5, sum(n)::BIGINT AS edits FROM j GROUP BY file_path HAVING sum(n) > 0""")
+def rewrite_apply(spark, sf_dir):
+    files = tables.documents(spark, sf_dir)
+    done = rewrite.apply(files, rewrite.edits(search.search(files, [_HITS], "text"), "<@w>"))
+    return done.filter("error is null").select("file_path", F.md5("rewritten").alias("rewritten_md5"), "edits")
+
+
+@query(_TREE + "SELECT l.path AS file_path, l.start::BIGINT AS start_byte, (l.start + l.size)::BIGINT AS end_byte FROM placed l WHERE (l.doc_id, l.no) IN (SELECT (doc_id, no) FROM word WHERE idx = 1 AND body = 'Is')")
+def rewrite_overlap(spark, sf_dir):
+    """Lines whose edit overlaps that of their first word."""
+    found = search.search(tables.documents(spark, sf_dir), ['(line . (word) @w (#eq? @w "Is")) @l'], "text")
+    changes = found.select("file_path", "start_byte", "end_byte", F.lit("x").alias("new_text"))
+    # the shorter of two ranges with one start comes first, and ends after the longer one's start
+    widest = changes.groupBy("file_path", "start_byte").agg(F.max("end_byte").alias("end_byte"))
+    return rewrite.overlaps(changes).select("file_path", "start_byte").join(widest, ["file_path", "start_byte"]).select("file_path", "start_byte", "end_byte").distinct()
