@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, crf, gif, language, line_dedup, mixing, oph, simhash, window_dedup
+from thicket.llm import bpe, crf, gif, language, line_dedup, mixing, oph, simhash, suffix_dedup, window_dedup
 
 #: Most times that mixing repeats a source.
 REPEATS = 2.0
@@ -63,6 +63,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete bytes of repeated strings of 100 bytes."""
+    kept = suffix_dedup.dedupe(_documents(spark, sf_dir), size=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text."""
     import public_tokenizers
@@ -164,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_oph": op2_oph,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_gif": op7_gif,
     "op8_mixing": op8_mixing,
