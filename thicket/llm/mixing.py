@@ -106,6 +106,11 @@ def budgets(found: Shares, a: float) -> DataFrame:
     return found.table.select("source", "docs", "tokens", part.alias("part"), blocks.alias("blocks")).select("source", "docs", "blocks", (F.col("part") - F.col("blocks") * F.col("tokens")).alias("rest"))
 
 
+def _beside(found: Shares, table: DataFrame) -> DataFrame:
+    """A table of sources, sent whole to all tasks where there are at most ``LOCAL``, so that a large source isn't dealt to one."""
+    return F.broadcast(table) if found.local is not None else table
+
+
 def _light(frame: DataFrame, id_col: str, source: str, text: str) -> DataFrame:
     return cut(frame.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), tokens_of(F.col(text)).alias("tokens")))
 
@@ -118,7 +123,7 @@ def draws(frame: DataFrame, max_repeats: float | None = None, entropy: float | N
     most = found.table.agg(F.max("docs")).first()[0] or 1
     digits = max(1, math.ceil(math.log(max(1, most / GROUP), 16)))
     blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.when(F.col("rest") > 0, 0).otherwise(1))
-    rows = docs.join(plan, "source").withColumn("block", F.explode(blocks)).withColumn("key", order_key(F.col("source"), F.col("block"), F.col("doc_id"))).withColumn("lead", F.substring("key", 1, digits))
+    rows = docs.join(_beside(found, plan), "source").withColumn("block", F.explode(blocks)).withColumn("key", order_key(F.col("source"), F.col("block"), F.col("doc_id"))).withColumn("lead", F.substring("key", 1, digits))
     group = ["source", "block", "lead"]
     before = Window.partitionBy("source", "block").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*group).agg(F.count("*").alias("c"), F.sum("tokens").alias("t")).select(*group, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
@@ -142,14 +147,14 @@ def realise(frame: DataFrame, max_repeats: float | None = None, entropy: float |
     name, block = F.coalesce(F.col(source).cast("string"), F.lit("")), F.col("__blocks")
     place = F.struct(order_key(name, block, F.col(id_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), tokens_of(F.col(text)).alias("tokens"))
     times = (block + F.when(place <= F.col("__upto"), 1).otherwise(0)).cast("int")
-    return frame.join(whole, name == F.col("__source")).withColumn("__again", F.explode(F.sequence(F.lit(1), times))).select(*(frame[c] for c in frame.columns))
+    return frame.join(_beside(found, whole), name == F.col("__source")).withColumn("__again", F.explode(F.sequence(F.lit(1), times))).select(*(frame[c] for c in frame.columns))
 
 
 def draws_of_last_block(docs: DataFrame, plan: DataFrame, found: Shares) -> DataFrame:
     """(source, upto): the last (key, doc_id, tokens) of each source's last block."""
     most = found.table.agg(F.max("docs")).first()[0] or 1
     digits = max(1, math.ceil(math.log(max(1, most / GROUP), 16)))
-    rows = docs.join(plan.filter("rest > 0"), "source").withColumn("key", order_key(F.col("source"), F.col("blocks"), F.col("doc_id"))).withColumn("lead", F.substring("key", 1, digits))
+    rows = docs.join(_beside(found, plan.filter("rest > 0")), "source").withColumn("key", order_key(F.col("source"), F.col("blocks"), F.col("doc_id"))).withColumn("lead", F.substring("key", 1, digits))
     group = ["source", "lead"]
     before = Window.partitionBy("source").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*group).agg(F.sum("tokens").alias("t")).select(*group, F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
