@@ -26,7 +26,7 @@ class TextGrammar:
         return root
 
     def batches(self, ids: np.ndarray, texts: list[bytes], kinds: set[str] | None, with_text: bool):
-        """The node columns of many valid files at once, a batch for each kind: the same rows as ``parse`` gives."""
+        """The nodes of many valid files at once, for each kind which file a node is of and makers of its columns: the same rows as ``parse`` gives."""
         if not texts:
             return
         size = np.array([len(x) for x in texts], np.int64)
@@ -49,32 +49,37 @@ class TextGrammar:
 
         def batch(kind, doc, number, parent, depth, sibling, siblings, last_desc, has, field, s, e, l0, c0, l1, c1, body):
             n = len(number)
-            const = lambda v, t: pa.array(np.full(n, v), t)
-            last = pa.array(sibling == siblings - 1)
-            text = pa.nulls(n, pa.string())
-            if with_text:
+            small = lambda x: pa.array(x.astype(np.int32))
+            const = lambda v, t: pa.repeat(pa.scalar(v, t), n)
+            last = lambda: pa.array(sibling == siblings - 1)
+
+            def text():
                 offsets = np.r_[0, np.cumsum(e - s)]
-                text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(body().tobytes())]).cast(pa.string())
-            return [
-                pa.array(ids[doc]),
-                pa.array(number.astype(np.int32)),
-                pa.nulls(n, pa.int32()) if parent is None else pa.array(parent.astype(np.int32)),
-                const(depth, pa.int32()),
-                pa.array(sibling.astype(np.int32)),
-                pa.array(sibling.astype(np.int32)),
-                pa.array(last_desc.astype(np.int32)),
-                pa.array([kind] * n, pa.string()),
-                const(True, pa.bool_()),
-                const(False, pa.bool_()),
-                pa.array(has),
-                last,
-                last,
-                pa.array([field] * n, pa.string()),
-                *(pa.array(x.astype(np.int32)) for x in (l0, c0, l1, c1)),
-                pa.array(s - base[doc]),
-                pa.array(e - base[doc]),
-                text,
-            ]
+                return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(body().tobytes())]).cast(pa.string())
+
+            return doc, {
+                "file_id": lambda: pa.array(ids[doc]),
+                "node_id": lambda: small(number),
+                "parent_id": lambda: pa.nulls(n, pa.int32()) if parent is None else small(parent),
+                "depth": lambda: const(depth, pa.int32()),
+                "sibling_idx": lambda: small(sibling),
+                "named_idx": lambda: small(sibling),
+                "last_desc_id": lambda: small(last_desc),
+                "kind": lambda: const(kind, pa.string()),
+                "is_named": lambda: const(True, pa.bool_()),
+                "is_error": lambda: const(False, pa.bool_()),
+                "has_children": lambda: pa.array(has),
+                "is_last": last,
+                "is_last_named": last,
+                "field_name": lambda: const(field, pa.string()),
+                "start_line": lambda: small(l0),
+                "start_col": lambda: small(c0),
+                "end_line": lambda: small(l1),
+                "end_col": lambda: small(c1),
+                "start_byte": lambda: pa.array(s - base[doc]),
+                "end_byte": lambda: pa.array(e - base[doc]),
+                "text": lambda: text() if with_text else pa.nulls(n, pa.string()),
+            }
 
         if kinds is None or "document" in kinds:
             doc = np.arange(len(texts))

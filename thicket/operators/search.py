@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thicket import grammars
 from thicket.operators import matcher
-from thicket.operators.parse import parse_files
+from thicket.operators.parse import parse_files, spread
 from thicket.plans import compiler, sexpr
 from thicket.schema import MATCHES, QueryCompileError
 
@@ -37,7 +37,7 @@ def compile_queries(queries: list[str], languages: list[str]) -> dict[str, list[
 
 def match_joins(files: DataFrame, patterns: list[sexpr.Pattern]) -> DataFrame:
     """Matches of plain patterns by joins over the parsed nodes of ``files``; rows may repeat."""
-    nodes = lambda kinds, text, path: parse_files(files, kinds, text, path)
+    nodes = lambda *x: parse_files(files, *x)
     found = [compiler.match(p, nodes, with_path=True).drop("file_id") for p in patterns]
     return reduce(DataFrame.unionByName, found)
 
@@ -57,7 +57,7 @@ def match_files(files: DataFrame, compiled: dict[str, list[sexpr.Pattern]]) -> D
                 kinds = (pa.string(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], MATCHES)
 
-    return files.filter(F.col("language").isin(sorted(compiled))).select("path", "language", "content").mapInArrow(run, _ROW)
+    return spread(files.filter(F.col("language").isin(sorted(compiled))).select("path", "language", "content")).mapInArrow(run, _ROW)
 
 
 def search(files: DataFrame, queries: list[str], lang: str = "auto") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thicket import grammars
 from thicket.operators import matcher
+from thicket.operators.parse import spread
 from thicket.plans import sexpr
 
 # Symbol kinds.
@@ -61,7 +62,7 @@ def extract(files: DataFrame) -> DataFrame:
                 kinds = (*[pa.string()] * 3, *[pa.int32()] * 4, pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["path", "kind", "name", "start_line", "start_col", "end_line", "end_col", "signature"])
 
-    return files.select("path", "language", "content").mapInArrow(run, SCHEMA)
+    return spread(files.select("path", "language", "content")).mapInArrow(run, SCHEMA)
 
 
 def _symbol(path, kind, captures, data):

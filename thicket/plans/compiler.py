@@ -17,8 +17,8 @@ from thicket.plans.sexpr import Node, Pattern, Predicate, java_regex
 from thicket.schema import QueryCompileError
 
 _PLACE = ["start_line", "start_col", "end_line", "end_col", "start_byte", "end_byte"]
-#: nodes(kinds or None, with_text, with_path) -> the node table, with those kinds at least.
-Nodes = Callable[[set[str] | None, bool, bool], DataFrame]
+#: nodes(kinds or None, with_text, with_path, columns, texts or None) -> the node table, with those kinds, columns and texts at least.
+Nodes = Callable[[set[str] | None, bool, bool, list[str], list[str] | None], DataFrame]
 
 
 def check(pattern: Pattern, grammar) -> None:
@@ -61,13 +61,15 @@ def match(pattern: Pattern, nodes: Nodes, with_path: bool = False) -> DataFrame:
         return own
 
     number(pattern.root, None)
-    tested = {c for p in pattern.predicates for c in (p.capture, p.other) if c}
     owner = {c: i for i, _, _, n in flat for c in n.captures}
     of = lambda i, c: F.col(f"n{i}_{c}")
 
     def table(i: int, n: Node, first: bool) -> DataFrame:
         need_text = bool(n.captures)
-        found = nodes({n.kind} if n.kind else None, need_text, with_path and first)
+        kept = [*(["file_id", "node_id", "parent_id", "sibling_idx", "named_idx"] if len(flat) > 1 or n.absent else ["file_id"]), *(["is_named", "kind", "text", *_PLACE] if n.captures else [])]
+        tests = [*(["kind"] if n.kind else []), *(["is_named"] if n.named is not None else []), *(["field_name"] if n.field else []), *(["named_idx", "sibling_idx"] if n.first else []), *(["is_last_named", "is_last"] if n.last else [])]
+        texts = next((p.values for p in pattern.predicates if p.other is None and owner[p.capture] == i and p.name in ("#eq?", "#any-of?")), None)
+        found = nodes({n.kind} if n.kind else None, need_text, with_path and first, list(dict.fromkeys([*kept, *tests])), texts)
         conditions = [F.col("kind") == n.kind] if n.kind else []
         if n.named is not None:
             conditions.append(F.col("is_named") == n.named)
@@ -81,9 +83,7 @@ def match(pattern: Pattern, nodes: Nodes, with_path: bool = False) -> DataFrame:
             if p.other is None and owner[p.capture] == i:
                 conditions.append(_condition(p, F.col("text"), None))
         found = reduce(DataFrame.filter, conditions, found)
-        joins = ["file_id", "node_id", "parent_id", "sibling_idx", "named_idx"]
-        kept = [*joins, *(["is_named", "kind", "text", *_PLACE] if n.captures else []), *(["path"] if with_path and first else [])]
-        return found.select(*(F.col(c).alias(f"n{i}_{c}") for c in kept))
+        return found.select(*(F.col(c).alias(f"n{i}_{c}") for c in [*kept, *(["path"] if with_path and first else [])]))
 
     whole = table(0, pattern.root, True)
     for i, parent, elder, n in flat[1:]:
@@ -96,12 +96,11 @@ def match(pattern: Pattern, nodes: Nodes, with_path: bool = False) -> DataFrame:
         whole = whole.join(table(i, n, False), on)
     for i, _, _, n in flat:
         for name in n.absent:
-            held = nodes(None, False, False).filter(F.col("field_name") == name).select(F.col("file_id").alias("x_file"), F.col("parent_id").alias("x_parent"))
+            held = nodes(None, False, False, ["file_id", "parent_id", "field_name"], None).filter(F.col("field_name") == name).select(F.col("file_id").alias("x_file"), F.col("parent_id").alias("x_parent"))
             whole = whole.join(held, (of(i, "file_id") == F.col("x_file")) & (of(i, "node_id") == F.col("x_parent")), "left_anti")
     for p in pattern.predicates:
         if p.other is not None:
             whole = whole.filter(_condition(p, of(owner[p.capture], "text"), of(owner[p.other], "text")))
-    del tested
     captured = [
         F.struct(*(of(i, c).alias(c) for c in _PLACE), F.when(of(i, "is_named"), F.lit(c)).otherwise(F.concat(F.lit(f"{c}["), of(i, "kind"), F.lit("]"))).alias("capture_name"), of(i, "text").alias("matched_text"))
         for i, _, _, n in flat
