@@ -17,7 +17,7 @@ Defined results: a null source is the source named by the empty string; a null
 or blank text has no tokens; a source without tokens is read once; equal rows are
 drawn each; rows of one id are ordered by tokens; a null id counts as the empty
 string in the hash. An empty table gives an empty table. ``realise`` keeps all
-columns and doesn't add any.
+columns and doesn't add any; rows that tie with the last drawn one come with it.
 """
 
 from __future__ import annotations
