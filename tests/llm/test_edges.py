@@ -164,7 +164,7 @@ def test_crf(spark, docs, empty):
     draw = random.Random(2)
     texts = [" ".join(draw.choice("abcdefghij") * draw.randrange(1, 9) for _ in range(30)) + (" you zzbad thing" if i % 3 == 0 else "") for i in range(300)]
     model = crf.train([t.encode() for t in texts], np.array([i % 3 == 0 for i in range(300)]))
-    scored = crf.score_texts(spark.createDataFrame([(1, "a zzbad day", "old"), (2, "a fine day", "old"), (3, None, "old")], "doc_id long, text string, score string"), model).collect()
+    scored = crf.score_texts(spark.createDataFrame([(1, "a you zzbad thing", "old"), (2, "a fine day", "old"), (3, None, "old")], "doc_id long, text string, score string"), model).collect()
     assert scored[0]["score"] > 0.7 > scored[1]["score"] and scored[0]["spans"][0]["start"] == 2
     assert scored[2]["score"] < 0.7
     assert {r["score"] for r in crf.score_texts(docs, None).collect()} == {0.0}
