@@ -141,3 +141,8 @@ def match(patterns: list[Pattern], root: Tree, data: bytes) -> list[tuple]:
                 if text:
                     out.add((*place(n.start), *place(n.end), n.start, n.end, name if n.named else f"{name}[{n.kind}]", text))
     return sorted(out)
+
+
+def place(data: bytes, offset: int) -> tuple[int, int]:
+    """Line from 1 and byte column from 0."""
+    return data.count(b"\n", 0, offset) + 1, offset - (data.rfind(b"\n", 0, offset) + 1)
