@@ -69,6 +69,33 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP5_SQL = """
+WITH raw AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), starts AS (
+  SELECT doc_id, h, unnest(generate_series(1, n - 99)) AS i FROM raw WHERE n >= 100
+), keyed AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i - 1, 200)) AS body FROM starts
+), late AS (
+  SELECT doc_id, i FROM keyed QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1
+), cut AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 100 THEN 0 ELSE 1 END AS new FROM late WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM cut
+), spans AS (
+  SELECT doc_id, min(i) AS s, max(i) + 99 AS e FROM numbered GROUP BY doc_id, run
+), pieces AS (
+  SELECT x.doc_id, s, e, substr(h, 2 * coalesce(lag(e) OVER w, 0) + 1, 2 * (s - 1 - coalesce(lag(e) OVER w, 0))) AS piece
+  FROM spans x JOIN raw USING (doc_id) WINDOW w AS (PARTITION BY x.doc_id ORDER BY s)
+), kept AS (
+  SELECT doc_id, sum(e - s + 1) AS removed, count(*) AS spans, max(e) AS last, string_agg(piece, '' ORDER BY s) AS front FROM pieces GROUP BY doc_id
+)
+SELECT r.doc_id, r.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM raw r LEFT JOIN kept k ON r.doc_id = k.doc_id
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text."""
     import public_tokenizers
@@ -124,6 +151,27 @@ def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split
+), windows AS (
+  SELECT doc_id, i, count(*) OVER w AS n, md5(string_agg(word, ' ') OVER w) AS body
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), late AS (
+  SELECT doc_id, i FROM windows WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM late
+), kept AS (
+  SELECT p.doc_id, count(g.i) AS n_removed, string_agg(p.word, ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS rest
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id
+)
+SELECT s.doc_id, len(s.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.rest, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delete later copies of repeated runs of lines with ten words or more."""
     kept = line_dedup.dedupe(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -179,6 +227,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_suffix_dedup": OP5_SQL,
     "op8_mixing": OP8_SQL,
+    "op9_window_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }
