@@ -227,11 +227,11 @@ def _emit_parts(size: int, buckets: int):
 def late_windows(bodies: list[bytes], rank: list[tuple], size: int) -> list[np.ndarray]:
     """For each body the offsets of windows that a body of smaller rank, or the same one before, has too.
 
-    Only bytes of windows that several places share enter the suffix array, each
-    different stretch once.
+    Only stretches of windows that several places share are looked at, each
+    different one once; those that have windows in common enter the suffix array.
     """
-    owner, offset, a, b = window_hashes(bodies, size)
-    pair = H.mix(a ^ H.mix(b))
+    owner, offset, first, second = window_hashes(bodies, size)
+    pair = H.mix(first ^ H.mix(second))
     keys, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
     often = np.flatnonzero(count[inverse] > 1)
     found: list[list[int]] = [[] for _ in bodies]
@@ -241,10 +241,24 @@ def late_windows(bodies: list[bytes], rank: list[tuple], size: int) -> list[np.n
         head = np.flatnonzero(new)
         length = np.diff(np.r_[head, len(o)])
         stretches: dict[bytes, list[tuple]] = {}
+        ranges: dict[bytes, tuple[int, int]] = {}
         for i, n in zip(head.tolist(), length.tolist(), strict=True):
             body, start = int(o[i]), int(f[i])
-            stretches.setdefault(bodies[body][start : start + n + size - 1], []).append((rank[body], start, body))
-        texts, owners = list(stretches), [sorted(x) for x in stretches.values()]
+            text = bodies[body][start : start + n + size - 1]
+            stretches.setdefault(text, []).append((rank[body], start, body))
+            ranges.setdefault(text, (i, i + n))
+        # windows of different hashes differ: a stretch none of whose windows is in itself or another stretch again is a class by itself, place by place
+        spread = np.bincount(np.concatenate([inverse[often[a:b]] for a, b in ranges.values()]), minlength=len(keys))
+        texts, owners = [], []
+        for text, places in stretches.items():
+            a, b = ranges[text]
+            places.sort()
+            if (spread[inverse[often[a:b]]] == 1).all():
+                for _, start, body in places[1:]:
+                    found[body].extend(range(start, start + b - a))
+            else:
+                texts.append(text)
+                owners.append(places)
         symbols: list[int] = []
         where = []
         for text in texts:
