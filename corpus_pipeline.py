@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, crf, line_dedup, mixing, simhash
+from thicket.llm import bpe, crf, line_dedup, mixing, near_copies
 from thicket.llm.queries import RANKS, REPEATS
 from thicket.llm.lineage import shared_folder
 
@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, by fingerprints of five-word shingles."""
-    return simhash.one_of_each(docs, words=5)
+    """One document of each group of near-duplicates stays: five-word shingles with a similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs, words=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,19 +48,28 @@ _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 MASKS = [sum(0xFF << (8 * i) for i in range(8) if i not in free) for free in combinations(range(8), 2)]
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of one whole text."""
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """Hashes of one whole text's shingles, in order."""
     found = (text or "").encode().translate(_LOWER).split()
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     shingles = [b" ".join(x) for x in zip(*(found[i:] for i in range(words)), strict=False)] if len(found) >= words else [b" ".join(found)]
-    hashes = np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles], "<u8")
+    return np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; none: 0."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _HASHES):
         counts += np.unpackbits(hashes[at : at + _HASHES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of one whole text."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(frame: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """doc_id, th (a hash of the text) and fp (the fingerprint's 64 bits as a signed long) for every row."""
 
