@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; all documents stay."""
-    kept = line_dedup.dedupe(docs, n_lines="__lines", n_removed="__removed")
+    """Later copies of repeated runs of lines go, however short, but for runs of blank lines alone; all documents stay."""
+    kept = line_dedup.dedupe(docs, min_words=1, n_lines="__lines", n_removed="__removed")
     changed = F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).drop("__lines", "__removed")
 
