@@ -10,8 +10,9 @@ that the field didn't see, and tokens above one half give the offending byte
 offsets.
 
 Bound of the fit: ``PER_CLASS`` documents of either label, of ``FIT_BYTES`` or
-less each. Scoring takes whole texts of any length and runs on Arrow batches;
-chains end with sentences, or after ``CHAIN`` tokens.
+less each, and the first of them in the order of a hash up to ``FIT_TOTAL`` bytes.
+The fit runs in one task; only the weights come to the driver. Scoring takes
+whole texts of any length and runs on Arrow batches; chains end with sentences.
 
 Defined results: null, empty and wordless texts get the score of a text without
 evidence; without any labelled toxic document the score is 0.0 for all rows;
@@ -31,10 +32,11 @@ from pyspark.sql import types as T
 
 from thicket.llm import blockwise as B
 from thicket.llm import hashing as H
+from thicket.llm.lineage import in_one_task
 
 PER_CLASS = 1500
 FIT_BYTES = 1 << 15
-CHAIN = 64
+FIT_TOTAL = 10 << 20
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
 #: Chance that any feature at all is called toxic wrongly.
@@ -75,9 +77,7 @@ def tokens(texts: list[bytes]) -> Tokens:
     new = np.ones(len(start), bool)
     if len(start):
         new[1:] = (doc[1:] != doc[:-1]) | (stops[start[1:]] > stops[end[:-1]])
-    heads = np.flatnonzero(new)
-    offset = np.arange(len(start)) - heads[np.cumsum(new) - 1] if len(start) else np.empty(0, np.int64)
-    chain = np.cumsum(new | (offset % CHAIN == 0)) - 1
+    chain = np.cumsum(new) - 1
     kinds = [H.span_hashes(lower, start, end)]
     kinds += [H.mix(H.span_hashes(lower, start, np.minimum(start + k, end)) ^ H.U64(k)) for k in PREFIXES]
     kinds += [H.mix(H.span_hashes(lower, np.maximum(end - k, start), end) ^ H.U64(100 + k)) for k in SUFFIXES]
@@ -87,17 +87,16 @@ def tokens(texts: list[bytes]) -> Tokens:
 class Weights:
     """Feature weights by hash: keys are sorted and found by their leading bits; the full hash is compared."""
 
-    BITS = 18
-
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order].astype(np.float32)
-        self.starts = np.searchsorted(self.keys >> H.U64(64 - self.BITS), np.arange((1 << self.BITS) + 1).astype(H.U64)).astype(np.int32)
+        self.bits = min(18, len(keys).bit_length() + 4)
+        self.starts = np.searchsorted(self.keys >> H.U64(64 - self.bits), np.arange((1 << self.bits) + 1).astype(H.U64)).astype(np.int32)
         self.probes = int(np.diff(self.starts).max()) if len(keys) else 0
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.float32)
-        bucket = (hashes >> H.U64(64 - self.BITS)).astype(np.int64)
+        bucket = (hashes >> H.U64(64 - self.bits)).astype(np.int64)
         low, high = self.starts[bucket], self.starts[bucket + 1]
         for probe in range(self.probes):
             at = np.flatnonzero(low + probe < high)
@@ -275,8 +274,19 @@ def fit_from(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str =
     part = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(F.lit(min(1.0, per_class / counts[0])))
     chosen = known.filter(draw < part * (1 << 30)).limit(3 * per_class)
     small = docs.filter(F.octet_length(text) <= FIT_BYTES).select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-    rows = chosen.join(small, "id").orderBy("id", "body").limit(3 * per_class).collect()
-    return train([r["body"].encode() for r in rows], np.array([r["y"] for r in rows], bool)) if rows else None
+    rows = chosen.join(small, "id").orderBy(F.xxhash64("id", F.lit(5)), "id", "body", "y").limit(3 * per_class).select("body", "y")
+
+    def fit(batches):
+        texts, marks, left = [], [], FIT_TOTAL
+        for batch in batches:
+            for body, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left -= len(body)
+                if left >= 0:
+                    texts.append(body.encode())
+                    marks.append(y)
+        return train(texts, np.array(marks, bool)) if texts else None
+
+    return in_one_task(rows, fit)
 
 
 def _spans(t: Tokens, logits: np.ndarray, docs: int) -> list[list[dict]]:

@@ -7,9 +7,10 @@ Adam on labelled windows. For prediction, embedding and filters are folded into
 one lookup table for each offset, so a convolution is a sum of table rows. The
 log-probabilities of all windows of the whole text are averaged.
 
-Bound of the fit: about ``PER_LANGUAGE`` documents of each of at most
-``LANGUAGES`` labels (those with most documents), drawn by a hash of the id, and
-``PER_TEXT`` windows of each.
+Bound of the fit: about ``PER_LANGUAGE`` documents of each label, and fewer where
+there are so many labels that ``SAMPLE`` documents wouldn't do, drawn by a hash of
+the id; ``PER_TEXT`` windows of each. More than ``LABELS`` different labels are an
+error. The fit runs in one task; only the weights come to the driver.
 
 Defined results: ``und`` and score 0.0 for null texts and texts without a letter,
 and for all texts if there was nothing to learn from; repeated rows get equal
@@ -27,12 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thicket.llm.lineage import in_one_task
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
 PER_LANGUAGE = 400
-LANGUAGES = 200
+SAMPLE = 80_000
+LABELS = 20_000
 PER_TEXT = 6
 EPOCHS = 8
 BATCH = 64
@@ -131,20 +135,28 @@ def train(rows: np.ndarray, labels: np.ndarray, names: list[str], seed: int = 11
 def fit_from(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> Model | None:
     """Fit on a bounded sample of the rows with a label and a text for which ``allowed`` holds."""
     known = docs.filter(allowed & F.col(label).isNotNull() & (F.octet_length(text) > 0))
-    counts = known.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(LANGUAGES).collect()
-    names = sorted(r["y"] for r in counts)
+    counts = known.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n"))
+    names = sorted(r["y"] for r in counts.limit(LABELS + 1).collect())
+    if len(names) > LABELS:
+        raise ValueError(f"more than {LABELS} languages")
     if not names:
         return None
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label) == r["y"], F.lit(min(1.0, PER_LANGUAGE / r["n"]))).otherwise(share)
-    drawn = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
+    # at most LABELS rows, as counted
+    share = F.broadcast(counts.select(F.col("y").alias("label"), F.least(F.lit(1.0), F.lit(min(PER_LANGUAGE, max(1, SAMPLE // len(names)))) / F.col("n")).alias("share")))
+    drawn = known.select(F.col(label).alias("y"), F.col(id_col).alias("id"), F.col(text).alias("body")).join(share, F.col("y") == F.col("label"))
+    drawn = drawn.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     # windows are cut by characters here: only their bytes are kept, and only these few
-    at = F.array(*(F.substring(text, (F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.greatest(F.lit(1), F.length(text) - WINDOW)) + 1).cast("int"), WINDOW) for i in range(PER_TEXT)))
-    sample = drawn.select(F.col(label).alias("y"), F.col(id_col).alias("id"), at.alias("parts")).orderBy("id", "y").limit(3 * PER_LANGUAGE * len(names)).collect()
-    index = {name: i for i, name in enumerate(names)}
-    rows = [(windows(part.encode())[0], index[r["y"]]) for r in sample for part in dict.fromkeys(r["parts"])]
-    return train(np.stack([x for x, _ in rows]), np.array([y for _, y in rows]), names)
+    at = F.array(*(F.substring("body", (F.pmod(F.xxhash64("id", F.lit(i)), F.greatest(F.lit(1), F.length("body") - WINDOW)) + 1).cast("int"), WINDOW) for i in range(PER_TEXT)))
+    sample = drawn.select("y", "id", at.alias("parts")).orderBy("id", "y", "parts").limit(3 * min(SAMPLE, PER_LANGUAGE * len(names))).select("y", "parts")
+
+    def fit(batches):
+        index, rows = {name: i for i, name in enumerate(names)}, []
+        for batch in batches:
+            for y, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(windows(part.encode())[0], index[y]) for part in dict.fromkeys(parts)]
+        return train(np.stack([x for x, _ in rows]), np.array([y for _, y in rows]), names) if rows else None
+
+    return in_one_task(sample, fit)
 
 
 def identify(frame: DataFrame, model: Model | None, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -71,8 +71,9 @@ class Shares:
 def shares(docs: DataFrame) -> Shares:
     """From rows of source and tokens."""
     table = cut(docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
+    n = table.count()  # all sources, as the whole table is sent to tasks where it's small
     some = table.filter("tokens > 0")
-    n, largest, smallest, total = some.agg(F.count("*"), F.max("tokens"), F.min("tokens"), F.sum("tokens")).first()
+    largest, smallest, total = some.agg(F.max("tokens"), F.min("tokens"), F.sum("tokens")).first()
     return Shares(table, largest or 0, smallest or 0, total or 0, [r["tokens"] for r in some.select("tokens").collect()] if n <= LOCAL else None)
 
 
