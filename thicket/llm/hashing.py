@@ -1,8 +1,14 @@
-"""Vectorised 64-bit hashes of words and of word windows, over the UTF-8 bytes of many texts at once."""
+"""Vectorised hashes of words and of windows, over the UTF-8 bytes of many texts at once.
+
+``word_hashes`` has 128 bits and decides equality. ``span_hashes`` and ``rolling``
+are polynomials modulo 2^64, which some long strings are known to defeat: they
+name features and find candidates only.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 #: Bytes hashed with one table of powers; longer only where one word is longer.
@@ -72,6 +78,41 @@ def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(out)
 
 
+#: Bytes of words that are hashed eight at a time; longer ones go one by one.
+_SHORT = 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each byte span; the first tells all spans of eight bytes or less and one length apart."""
+    size = ends - starts
+    raw = buffer.tobytes() + bytes(_SHORT)
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    a, b = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93)), mix(size.astype(U64) + U64(0xA24BAED4963EE407))
+    for k in range(0, _SHORT, 8):
+        at = np.flatnonzero(size > k)
+        if not len(at):
+            break
+        part = eight[starts[at] + k] & _MASKS[np.minimum(size[at] - k, 8)]
+        a[at] = mix(a[at] ^ part)
+        b[at] = mix((b[at] + part) * U64(0x9FB21C651E98DF25))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        a[i], b[i] = np.frombuffer(xxhash.xxh3_128_digest(raw[starts[i] : ends[i]]), "<u8")
+    return a, b
+
+
+def rolling(buffer: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` bytes of a short buffer."""
+    up, down = powers(len(buffer) + 1)
+    sums = np.zeros(len(buffer) + 1, U64)
+    np.cumsum(_TABLE[buffer] * up[: len(buffer)], out=sums[1:])
+    x = (sums[size:] - sums[:-size]) * down[: len(buffer) - size + 1]
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    return x
+
+
 def windows(symbols: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Hashes of all windows of ``size`` symbols, put together from windows of powers of two. Windows may cross texts; callers mask those."""
     if len(symbols) < size:

@@ -16,7 +16,8 @@ blocks delete. Whole copies of an earlier text need no windows.
 
 Defined results: null text: no words, empty rest. Order of documents: id, null
 ids last, equal ids by text within a block and by block otherwise; equal rows
-count as documents of their own, the first keeps its words. Words are maximal
+count as documents of their own, the first keeps its words. Texts too short for
+``size`` words enter no block. Words are maximal
 runs other than blanks U+0020 and U+0009 to U+000D, compared byte by byte. The
 result has the columns below only, so clashing extra columns don't matter. An
 empty table gives an empty table.
@@ -26,7 +27,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,18 +53,13 @@ class _Block:
 
     def __init__(self, table: pa.Table, size: int) -> None:
         self.size, self.period = size, period_for(size)
-        self.ids, self.texts, self.order = B.texts_in_order(table)
-        buffer, bounds = H.join_texts(self.texts)
+        self.texts = B.Texts(table)
+        buffer, bounds = H.join_texts(self.texts.texts)
         starts, ends = H.word_spans(buffer)
-        self.words = H.span_hashes(buffer, starts, ends)
+        self.words, self.more = H.word_hashes(buffer, starts, ends)
         self.first = np.searchsorted(starts, bounds)
-        self.doc = np.repeat(np.arange(len(self.texts)), np.diff(self.first))
-        digests = [xxhash.xxh3_128_digest(x) for x in self.texts]
-        self.digest = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-        has = np.diff(self.first) >= size
-        self.long = np.flatnonzero(has)
-        _, is_first = B.first_of_each(self.digest[:, 0], self.digest[:, 1])
-        self.again = ~is_first & has
+        self.doc = np.repeat(np.arange(len(self.texts.texts)), np.diff(self.first))
+        self.long = np.diff(self.first) >= size
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the windows at cover positions."""
@@ -76,22 +71,17 @@ class _Block:
         here = n[at[(n - self.first[doc]) % self.period] & (n + width <= self.first[doc + 1])]
         return here, H.windows(self.words, width)[here]
 
-    def owned(self, docs: np.ndarray) -> np.ndarray:
-        records = np.empty(len(docs), B.OWNED)
-        records["hash"], records["more"], records["doc"] = self.digest[docs, 0], self.digest[docs, 1], self.ids[docs]
-        return records
-
     def copies(self, replies: pa.Table) -> np.ndarray:
         """Which documents are later copies of a whole text."""
-        known, _ = B.gathered(replies, COPY, np.dtype("<u8"))
-        return self.again | (B.is_among(self.digest[:, 0], known) & (np.diff(self.first) >= self.size))
+        known, _ = B.gathered(replies, COPY, B.PAIR)
+        return (self.texts.again | B.pair_among(self.texts.a, self.texts.b, known)) & self.long
 
     def candidates(self, replies: pa.Table, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of windows with a shared anchor outside whole copies, and their hashes."""
         at, hashes = self.anchors()
         if not len(at):
             return np.empty(0, np.int64), np.empty(0, H.U64), np.empty(0, H.U64)
-        known, _ = B.gathered(replies, ANCHOR, np.dtype("<u8"))
+        known, _ = B.gathered(replies, ANCHOR, B.HASH)
         order = np.argsort(hashes, kind="stable")
         same = hashes[order][1:] == hashes[order][:-1]
         shared = B.is_among(hashes, known)
@@ -102,28 +92,28 @@ class _Block:
         n = np.arange(len(self.words) - self.size + 1) if len(self.words) >= self.size else np.empty(0, np.int64)
         doc = self.doc[: len(n)]
         here = n[(sums[n + self.period] > sums[n]) & (n + self.size <= self.first[doc + 1]) & ~copies[doc]]
-        return here, H.windows(self.words, self.size)[here], H.windows(self.words, self.size, 1)[here]
+        return here, H.windows(self.words, self.size)[here], H.windows(self.more, self.size, 1)[here]
 
 
 def _emit_anchors(size: int, buckets: int):
     def run(key, table):
         block, number = _Block(table, size), key[0].as_py()
         hashes = np.unique(block.anchors()[1])
-        once = block.long[~block.again[block.long]]
-        records = block.owned(once)
+        once = np.flatnonzero(block.long & ~block.texts.again)
+        records = block.texts.owned(once, block.texts.a[once], block.texts.b[once])
         return B.table_of([*B.deal(number, ANCHOR, hashes, hashes, buckets), *B.deal(number, COPY, records, records["hash"], buckets)])
 
     return run
 
 
 def _answer(table):
-    anchors, blocks = B.gathered(table, ANCHOR, np.dtype("<u8"))
+    anchors, blocks = B.gathered(table, ANCHOR, B.HASH)
     twice = B.in_several_blocks(anchors, blocks)
     rows = [*B.answers(ANCHOR, anchors[twice], blocks[twice])]
     for kind in (COPY, WINDOW):
         records, blocks = B.gathered(table, kind, B.OWNED)
         late = B.owned_elsewhere(records, blocks)
-        rows += B.answers(kind, records["hash"][late], blocks[late])
+        rows += B.answers(kind, B.pairs(records[late]), blocks[late])
     return B.table_of(rows)
 
 
@@ -134,8 +124,7 @@ def _emit_windows(size: int, buckets: int):
         block = _Block(table, size)
         here, a, b = block.candidates(replies, block.copies(replies))
         once, _ = B.first_of_each(a, b)
-        records = np.empty(len(once), B.OWNED)
-        records["hash"], records["more"], records["doc"] = a[once], b[once], block.ids[block.doc[here[once]]]
+        records = block.texts.owned(block.doc[here[once]], a[once], b[once])
         return B.table_of(B.deal(key[0].as_py(), WINDOW, records, records["hash"], buckets))
 
     return run
@@ -149,7 +138,7 @@ def _delete(size: int):
         copies = block.copies(replies)
         here, a, b = block.candidates(replies, copies)
         _, is_first = B.first_of_each(a, b)
-        late = ~is_first | B.is_among(a, B.gathered(replies, WINDOW, np.dtype("<u8"))[0])
+        late = ~is_first | B.pair_among(a, b, B.gathered(replies, WINDOW, B.PAIR)[0])
         step = np.zeros(len(block.words) + 1, np.int32)
         np.add.at(step, here[late], 1)
         np.add.at(step, here[late] + size, -1)
@@ -157,13 +146,12 @@ def _delete(size: int):
         totals = np.r_[0, np.cumsum(gone)]
         n_words, removed = np.diff(block.first), totals[block.first[1:]] - totals[block.first[:-1]]
         kept = []
-        for i, text in enumerate(block.texts):
+        for i, text in enumerate(block.texts.texts):
             words = text.split()
             if removed[i]:
                 words = [w for w, g in zip(words, gone[block.first[i] : block.first[i + 1]].tolist(), strict=True) if not g]
             kept.append(b" ".join(words))
-        ids = pa.array(block.ids, pa.int64(), mask=block.ids == B.LAST)
-        return pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": block.texts.arrow_ids(), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return run
 
@@ -171,9 +159,13 @@ def _delete(size: int):
 def dedupe(frame: DataFrame, size: int = 20, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one blank, one row for each input row."""
     total = B.text_bytes(frame, text)
-    docs = B.with_blocks(frame, total, id_col, text)
+    long = F.coalesce(F.octet_length(text) >= 2 * size - 1, F.lit(False))
+    docs = B.with_blocks(frame.filter(long), total, id_col, text)
     period = period_for(size)
     buckets = max(1, total * 8 * len(COVERS[period]) // (period * _WORD_BYTES * B.BUCKET_BYTES))
     first = docs.groupBy("block").applyInArrow(_emit_anchors(size, buckets), B.PACKED).groupBy("bucket").applyInArrow(_answer, B.PACKED)
     second = docs.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_emit_windows(size, buckets), B.PACKED).groupBy("bucket").applyInArrow(_answer, B.PACKED)
-    return docs.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(_delete(size), RESULT)
+    kept = docs.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(_delete(size), RESULT)
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    short = frame.filter(~long).select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
+    return kept.unionByName(short.select("doc_id", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("words", " ").alias("kept")))
