@@ -9,10 +9,14 @@ the exact similarity of the whole sets, so no other pair is linked.
 
 Documents with equal sets are one node. Sets that share a key are a bucket. First
 every member is held against the bucket's least and greatest member, which links
-up a large group of near copies in proportion to its size; then all pairs of a
-bucket that are still in different components. So nothing is left out of a large
-bucket, and only unlike members make it costly. Sizes whose ratio rules a pair
-out are never compared.
+up a large group of near copies in proportion to its size. Of buckets that are
+then still in several components, a set goes if so many of its shingles are in no
+other such set that it can't be alike to any. The others are held against their
+most central member, the one with the least share of such shingles; that is
+repeated with that of another component while the pairs left are more than ``LEFT`` for each
+member, ``TURNS`` times at most. What is left then are pairs of a bucket in
+different components, and all of them are compared, so no link is lost. Sizes
+whose ratio rules a pair out are never compared.
 
 Defined results: null and blank texts have the empty set and are alike; texts
 with fewer words than a shingle are one shingle; an empty table gives an empty
@@ -35,6 +39,8 @@ from thicket.llm.lineage import cut
 
 LIKE = 0.8
 BANDS, ROWS = 20, 5
+#: Pairs left for each member of a bucket that are compared outright, and how often central members are tried before.
+LEFT, TURNS = 2, 8
 #: Shingle hashes multiplied together.
 _HASHES = 1 << 12
 
@@ -131,14 +137,36 @@ def _links(nodes: DataFrame, docs: DataFrame, frame: DataFrame, words: int, like
     source = nodes.join(asked, "node").select("node", F.coalesce("first.doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("first.th").alias("th"))
     sets = cut(frame.join(source, _KEY).select("node", "text").mapInArrow(_sets(words), "node long, hashes array<long>").dropDuplicates(["node"]))
 
-    edges = _confirmed(pairs, sets, like)
-    roots = components(edges).select("node", "root")
-    named = members.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    named = cut(named.join(mixed, "key"))
-    x, y = (named.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "xy")
+    edges, done = _confirmed(pairs, sets, like), pairs
+    members = _several(members.select("key", "node", "n"), edges)
+    # shingles that no other set in question has: with too many of them a set is alike to none
+    asked = members.select("node").distinct()
+    single = sets.join(asked, "node").select("node", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("held"), F.min("node").alias("node")).filter("held = 1")
+    single = single.groupBy("node").agg(F.count("*").alias("own"))
+    members = members.drop("root").join(single, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter((F.col("n") - F.col("own")) >= like * F.col("n"))
+    members = _several(members, edges)
+    for turn in range(TURNS):
+        sizes = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        left, total = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
+        if not total or left <= LEFT * total:
+            break
+        # the most central member of all first, then that of some component, drawn by a hash
+        share = (F.col("own") / F.col("n")) if turn == 0 else F.xxhash64("root", F.lit(turn)).cast("double")
+        central = members.groupBy("key").agg(F.min(F.struct(share.alias("share"), (F.col("own") / F.col("n")).alias("part"), "n", "node", "root")).alias("c"))
+        found = members.join(central, "key").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n"))).select(*_pair(F.col("node"), F.col("c.node"))).distinct()
+        found = cut(found.join(done, ["a", "b"], "left_anti"))
+        edges, done = edges.union(_confirmed(found, sets, like)), done.union(found)
+        members = _several(members.drop("root"), edges)
+    x, y = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "xy")
     rest = x.join(y, "key").filter((F.col("root_x") < F.col("root_y")) & fits(F.col("n_x"), F.col("n_y"))).select(*_pair(F.col("node_x"), F.col("node_y"))).distinct()
-    return edges.union(_confirmed(rest.join(pairs, ["a", "b"], "left_anti"), sets, like))
+    return edges.union(_confirmed(rest.join(done, ["a", "b"], "left_anti"), sets, like))
+
+
+def _several(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """With the root of each node's component, the members of keys that are in several components."""
+    named = members.join(components(edges).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return cut(named.join(mixed, "key"))
 
 
 def one_of_each(frame: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, like: float = LIKE) -> DataFrame:
