@@ -28,13 +28,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thicket.llm.lineage import cut
 
-MIN_WORDS = 10
+MIN_WORDS = 1
+#: Intervals with more than one in so many rows are joined by broadcast; there can't be as many of them.
+HOT = 1000
 
 #: A document: its id (null: the largest long) and a hash of its text.
 _KEY = ["d", "th"]
@@ -82,6 +84,21 @@ def _ranked(pairs: DataFrame) -> DataFrame:
     return cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("r"), "n"))
 
 
+def _later(runs: DataFrame, place: Column) -> DataFrame:
+    """The runs of an interval (m, a, b) of the suffix array but the one at the least place.
+
+    A run that a large part of all lines hold isn't dealt by its key: there are less
+    than ``HOT`` intervals with more than one in ``HOT`` of the rows, so their least
+    places are sent to all tasks. The others are joined by key.
+    """
+    key = ["m", "a", "b"]
+    first = cut(runs.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("held")).filter("held > 1"))
+    total = runs.count()
+    hot, rest = first.filter(F.col("held") * HOT > total).drop("held"), first.filter(F.col("held") * HOT <= total).drop("held")
+    found = runs.join(F.broadcast(hot), key).unionByName(runs.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key))
+    return found.filter(place > F.col("first")).select(*_KEY, "s", "m")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, th, s, m): runs of m lines from line s on that occur earlier; ``docs`` has d, th and text."""
     lines = cut(docs.select(*_KEY, "text").mapInArrow(_lines(min_words), _LINES).repartition(*_KEY).dropDuplicates([*_KEY, "pos"]))
@@ -97,8 +114,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         decided = runs.filter(F.col("m").between(width, 2 * width - 1))
         heads = decided.join(suffixes, [*_KEY, "s"]).select(*_KEY, "s", "m", F.col("r").alias("a"), (F.col("s") + F.col("m") - width).alias("last"))
         both = heads.join(suffixes.select(*_KEY, F.col("s").alias("last"), F.col("r").alias("b")), [*_KEY, "last"])
-        first = both.groupBy("m", "a", "b").agg(F.min(place).alias("first"))
-        found = cut(both.join(first, ["m", "a", "b"]).filter(place > F.col("first")).select(*_KEY, "s", "m"))
+        found = cut(_later(cut(both), place))
         late = found if late is None else late.union(found)
         runs = cut(runs.filter(F.col("m") >= 2 * width).join(suffixes, [*_KEY, "s"], "left_semi"))
         if runs.isEmpty():
