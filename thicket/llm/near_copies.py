@@ -8,15 +8,16 @@ minima each; two sets of similarity s share a key with probability
 the exact similarity of the whole sets, so no other pair is linked.
 
 Documents with equal sets are one node. Sets that share a key are a bucket. First
-every member is held against the bucket's least and greatest member, which links
-up a large group of near copies in proportion to its size. Of buckets that are
-then still in several components, a set goes if so many of its shingles are in no
-other such set that it can't be alike to any. The others are held against their
-most central member, the one with the least share of such shingles; that is
-repeated with that of another component while the pairs left are more than ``LEFT`` for each
-member, ``TURNS`` times at most. What is left then are pairs of a bucket in
-different components, and all of them are compared, so no link is lost. Sizes
-whose ratio rules a pair out are never compared.
+every member is held against one set: of the least and greatest members of its
+buckets that with which it shares most keys. That links up a large group of near
+copies with one pair for each. Of buckets that are then still in several
+components, a set goes if so many of its shingles are in no other such set that it
+can't be alike to any. The others are held against the most central member of a
+bucket, the one with the least share of such shingles; that is repeated with other
+components' while the pairs left are more than ``LEFT`` for each member, ``TURNS``
+times at most. What is left then are pairs of a bucket in different components,
+and all of them are compared, so no link is lost. Sizes whose ratio rules a pair
+out are never compared.
 
 Defined results: null and blank texts have the empty set and are alike; texts
 with fewer words than a shingle are one shingle; an empty table gives an empty
@@ -41,6 +42,8 @@ LIKE = 0.8
 BANDS, ROWS = 20, 5
 #: Pairs left for each member of a bucket that are compared outright, and how often central members are tried before.
 LEFT, TURNS = 2, 8
+#: Rows of keys that are broadcast at most.
+FEW = 50_000
 #: Shingle hashes multiplied together.
 _HASHES = 1 << 12
 
@@ -122,7 +125,9 @@ def _links(nodes: DataFrame, docs: DataFrame, frame: DataFrame, words: int, like
     place = F.struct("n", "node")
     ends = members.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low.node <> high.node")
     members = cut(members.join(ends, "key"))
-    stars = [members.filter((F.col("node") != F.col(f"{e}.node")) & fits(F.col("n"), F.col(f"{e}.n"))).select(*_pair(F.col("node"), F.col(f"{e}.node"))) for e in ("low", "high")]
+    stars = [members.select("key", "node", "n", F.col(f"{e}.node").alias("pivot"), F.col(f"{e}.n").alias("m")) for e in ("low", "high")]
+    star = _best(stars[0].union(stars[1]).filter(fits(F.col("n"), F.col("m"))))
+    members = members.select("key", "node", "n")
 
     # SimHash's links, between the least nodes of their fingerprints
     least = cut(docs.groupBy("fp").agg(F.min("node").alias("least")))
@@ -130,15 +135,15 @@ def _links(nodes: DataFrame, docs: DataFrame, frame: DataFrame, words: int, like
     a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")) for c in "ab")
     far = near.join(a, "a").join(b, "b").select(*_pair(F.col("node_a"), F.col("node_b")))
     same = docs.select("fp", "node").distinct().join(least, "fp").select(*_pair(F.col("node"), F.col("least")))
-    pairs = cut(stars[0].union(stars[1]).union(far).union(same).filter("a <> b").distinct())
+    pairs = cut(star.union(far).union(same).filter("a <> b").distinct())
 
     # whole sets of the nodes that can be compared at all, each from one row
     asked = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    source = nodes.join(asked, "node").select("node", F.coalesce("first.doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("first.th").alias("th"))
-    sets = cut(frame.join(source, _KEY).select("node", "text").mapInArrow(_sets(words), "node long, hashes array<long>").dropDuplicates(["node"]))
+    source = cut(nodes.join(asked, "node").select("node", F.coalesce("first.doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("first.th").alias("th")))
+    sets = cut(frame.join(_small(source), _KEY).select("node", "text").mapInArrow(_sets(words), "node long, hashes array<long>").dropDuplicates(["node"]))
 
     edges, done = _confirmed(pairs, sets, like), pairs
-    members = _several(members.select("key", "node", "n"), edges)
+    members = _several(members, edges)
     # shingles that no other set in question has: with too many of them a set is alike to none
     asked = members.select("node").distinct()
     single = sets.join(asked, "node").select("node", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("held"), F.min("node").alias("node")).filter("held = 1")
@@ -153,8 +158,8 @@ def _links(nodes: DataFrame, docs: DataFrame, frame: DataFrame, words: int, like
         # the most central member of all first, then that of some component, drawn by a hash
         share = (F.col("own") / F.col("n")) if turn == 0 else F.xxhash64("root", F.lit(turn)).cast("double")
         central = members.groupBy("key").agg(F.min(F.struct(share.alias("share"), (F.col("own") / F.col("n")).alias("part"), "n", "node", "root")).alias("c"))
-        found = members.join(central, "key").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n"))).select(*_pair(F.col("node"), F.col("c.node"))).distinct()
-        found = cut(found.join(done, ["a", "b"], "left_anti"))
+        found = members.join(central, "key").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n")))
+        found = cut(_best(found.select("key", "node", F.col("c.node").alias("pivot"))).join(done, ["a", "b"], "left_anti").distinct())
         edges, done = edges.union(_confirmed(found, sets, like)), done.union(found)
         members = _several(members.drop("root"), edges)
     x, y = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "xy")
@@ -162,6 +167,18 @@ def _links(nodes: DataFrame, docs: DataFrame, frame: DataFrame, words: int, like
     return edges.union(_confirmed(rest.join(done, ["a", "b"], "left_anti"), sets, like))
 
 
+def _best(stars: DataFrame) -> DataFrame:
+    """For each node the pivot with which it shares most keys, as a pair."""
+    shared = stars.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("keys"))
+    best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("keys", -F.col("pivot"))).alias("pivot"))
+    return best.select(*_pair(F.col("node"), F.col("pivot")))
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys that are sent whole to all tasks if they are at most ``FEW``, so that texts aren't shuffled to meet them."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def _several(members: DataFrame, edges: DataFrame) -> DataFrame:
     """With the root of each node's component, the members of keys that are in several components."""
     named = members.join(components(edges).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -179,7 +196,16 @@ def one_of_each(frame: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     nodes = cut(docs.groupBy("node").agg(first, F.min("n").alias("n"), F.min("keys").alias("keys")))
     keyed = whole.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "th", "text")
     roots = components(_links(nodes, docs, keyed, words, like)).select("node", "root")
-    stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t"))
+    stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.th")
+    # by light rows: which go, and of which there are several
+    rows = docs.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
+    same = lambda x, y: F.col(x).eqNullSafe(F.col(y)) & (F.col("__th") == F.col("__t"))
+    named = lambda x: x.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
+    gone = cut(named(rows.alias("r").join(stay.alias("s"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.th") == F.col("s.th")), "left_anti")))
+    again = cut(named(rows.filter("rows > 1")))
     key = frame.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", simhash.text_hash(body))
-    kept = key.join(stay, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left_semi")
-    return kept.dropDuplicates(["__id", "__th"]).drop("__id", "__th")
+    kept = key.join(_small(gone), same("__id", "__d"), "left_anti")
+    if not again.isEmpty():
+        again = _small(again)
+        kept = kept.join(again, same("__id", "__d"), "left_anti").unionByName(kept.join(again, same("__id", "__d"), "left_semi").dropDuplicates(["__id", "__th"]))
+    return kept.drop("__id", "__th")
