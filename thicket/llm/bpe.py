@@ -4,10 +4,17 @@ The rank file is read from a path given by the caller and is opened on each
 Python worker once; no network is used and nothing is trained. Long texts are
 cut at *safe boundaries* before they reach the library, so that one call never
 sees an unbounded string: a cut between a character that is no white space and
-a following blank or newline can't fall inside a match of the split pattern,
-because every alternative of the pattern takes white space at its start only,
-and the look-ahead in ``\\s+(?!\\S)`` looks right only. Pieces are therefore the
-same as for the uncut text. A stretch without such a place is passed whole.
+white space can't fall inside a match of the split pattern, because every
+alternative of the pattern takes white space at its start only, and the
+look-ahead in ``\\s+(?!\\S)`` looks right only. Pieces are therefore the same as
+for the uncut text.
+
+``LONG`` characters or more of white space, or of anything else without white
+space between, don't reach the library, whose work would grow with their square
+or whose stack would end. Of such white space all but the last character is one
+piece if something follows, and all of it otherwise. Other stretches, with the
+white space before them, are split by the pattern. Each piece is merged by a heap
+of ranks and places, in the order in which the library merges.
 
 Defined results: a null text counts as empty (no ids, empty bytes); repeated
 rows and equal doc_ids are encoded row by row; other columns are untouched and
@@ -20,6 +27,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -34,7 +42,23 @@ CHUNK_CHARS = 1 << 16
 #: Input rows handled between two output batches.
 ROWS = 512
 
-_SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+#: Characters of one kind that the library isn't given in one stretch.
+LONG = 1 << 12
+
+# Characters with the property White_Space.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+_SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+_STRETCH = re.compile(f"[^{_SPACE}]+")
+_BLANKS = re.compile(f"[{_SPACE}]{{{LONG},}}")
+_EITHER = re.compile(f"[{_SPACE}]{{{LONG},}}|[{_SPACE}]?[^{_SPACE}]{{{LONG},}}")
+
+
+@functools.lru_cache(maxsize=4)
+def ranks(path: str) -> dict[bytes, int]:
+    """Tokens and ranks of a local file, whose lines are a token in base64 and its rank."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
 @functools.lru_cache(maxsize=4)
@@ -42,9 +66,7 @@ def encoding(path: str, pattern: str):
     """The tiktoken encoding for a local rank file (lines of base64 token and rank), without special tokens."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
 def safe_chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
@@ -59,14 +81,76 @@ def safe_chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def merged(piece: bytes, known: dict[bytes, int]) -> list[int]:
+    """Ids of one piece: neighbours of the least rank are merged, the leftmost first, until no two are a token."""
+    if piece in known:
+        return [known[piece]]
+    n = len(piece)
+    after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))  # where the part after starts, and the one before
+    alive = bytearray(b"\1") * n
+    # a rank and a place in one integer; entries that no longer hold are passed over
+    heap = [known[pair] * n + i for i in range(n - 1) if (pair := piece[i : i + 2]) in known]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = divmod(heapq.heappop(heap), n)
+        j = after[i]
+        if not alive[i] or j >= n or known.get(piece[i : after[j]]) != rank:
+            continue
+        end = after[i] = after[j]
+        alive[j] = 0
+        if end < n:
+            before[end] = i
+            found = known.get(piece[i : after[end]])
+            if found is not None:
+                heapq.heappush(heap, found * n + i)
+        if i:
+            h = before[i]
+            found = known.get(piece[h:end])
+            if found is not None:
+                heapq.heappush(heap, found * n + h)
+    ids, i = [], 0
+    while i < n:
+        ids.append(known[piece[i : after[i]]])
+        i = after[i]
+    return ids
+
+
+def _has_long(text: str) -> bool:
+    return len(text) >= LONG and (max(map(len, _STRETCH.findall(text)), default=0) >= LONG or _BLANKS.search(text) is not None)
+
+
 def encode(text: str | None, path: str, pattern: str, size: int = CHUNK_CHARS) -> list[int]:
     """Ids of one text."""
-    enc, ids = encoding(path, pattern), []
-    for chunk in safe_chunks(text or "", size):
+    enc, ids, text, at = encoding(path, pattern), [], text or "", 0
+    left = 0
+    for found in _EITHER.finditer(text) if _has_long(text) else ():
+        start, end = found.span()
+        if start == at + left:  # white space that a long run has left for what follows
+            start = at
+        for chunk in safe_chunks(text[at:start], size):
+            ids += enc.encode_ordinary(chunk)
+        part = text[start:end]
+        if _STRETCH.search(part):
+            for piece in _splitter(pattern).findall(part):
+                ids += merged(piece.encode(), ranks(path))
+            left = 0
+        else:
+            left = int(end < len(text))
+            end -= left
+            ids += merged(text[start:end].encode(), ranks(path))
+        at = end
+    for chunk in safe_chunks(text[at:] if at else text, size):
         ids += enc.encode_ordinary(chunk)
     return ids
 
 
+@functools.lru_cache(maxsize=4)
+def _splitter(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
 def decode(ids: Iterable[int], path: str, pattern: str) -> bytes:
     """Raw bytes of the ids; they need not be valid UTF-8."""
     return encoding(path, pattern).decode_bytes(list(ids))
