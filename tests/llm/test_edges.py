@@ -156,6 +156,8 @@ def test_gif_disposal_and_transparency():
     parsed = gif.parse(data)
     assert [f.delay for f in parsed.frames] == [5, 6, 7, 8]
     seen = [x[0].tolist() for x in gif.compose(parsed)]
+    with pytest.raises(gif.GifError):
+        gif.parse(b"GIF89a" + b"\xff" * 4 + bytes(3))
     one, two, three = [3, 4, 5, 255], [6, 7, 8, 255], [9, 10, 11, 255]
     assert seen == [[one, two], [three, two], [one, one], [[0, 0, 0, 0], [0, 0, 0, 0]]]
 

@@ -5,12 +5,16 @@ at a time (the widths follow from the number of codes since the last clear code,
 so a generation is cut in one vectorised step), expands them, undoes interlacing
 and keeps palette, delay, disposal and transparency of each frame. ``compose``
 shows what a viewer would at each frame. ``write`` stores any bytes losslessly
-as 8-bit samples of 64-pixel rows in frames of bounded size.
+in what the frames of an animation show: rows of 64 pixels, whose red is the byte,
+in frames of ``FRAME_ROWS`` rows. Every other frame has a palette of its own, a
+pixel that already shows its byte is transparent, and frames stay, are cleared or
+give way to what was there before in turn; ``shown_bytes`` reads them back.
 
 Defined results: null text is empty; the payload is padded to a positive multiple
 of 64 bytes; a file that isn't a readable GIF gives null frames and the reason in
-``error``; null media give null for both; a stream that ends early leaves the
-rest of its frame at sample 0; equal inputs give equal outputs; other columns are
+``error``, and so does one with a canvas or frame of more than ``CANVAS`` pixels;
+null media give null for both; a stream that ends early leaves the rest of its
+frame at sample 0; equal inputs give equal outputs; other columns are
 kept, new ones replace equally named ones; an empty table gives an empty table.
 """
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +34,9 @@ from pyspark.sql import types as T
 
 ROW = 64
 #: Rows of a frame that ``write`` makes; larger payloads become several frames.
-FRAME_ROWS = 1024
+FRAME_ROWS = 32
+#: Most pixels of a canvas, and of a frame, that is decoded.
+CANVAS = 1 << 24
 #: Hundredths of a second a written frame is shown.
 DELAY = 10
 #: Most codes that are valid in one table.
@@ -176,6 +183,8 @@ def parse(data: bytes) -> Gif:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no header")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > CANVAS:
+        raise GifError(f"canvas of {width} by {height}")
     at = 13
 
     def colours(flags, at):
@@ -202,6 +211,8 @@ def parse(data: bytes) -> Gif:
                 raise GifError("frame cut off")
             left, top, w, h, f = struct.unpack_from("<HHHHB", data, at)
             at, palette = at + 9, common
+            if w * h > CANVAS:
+                raise GifError(f"frame of {w} by {h}")
             if f & 0x80:
                 palette, at = colours(f, at)
             if at >= len(data):
@@ -220,9 +231,9 @@ def parse(data: bytes) -> Gif:
     return gif
 
 
-def compose(gif: Gif) -> list[np.ndarray]:
-    """What is seen at each frame: rows of red, green, blue, alpha. Disposal 2 clears a frame's area afterwards, 3 brings back what was there before."""
-    canvas, out = np.zeros((gif.height, gif.width, 4), np.uint8), []
+def compose(gif: Gif) -> Iterator[np.ndarray]:
+    """What is seen at each frame, until the next one is asked for: rows of red, green, blue, alpha. Disposal 2 clears a frame's area afterwards, 3 brings back what was there before."""
+    canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
         area = canvas[f.top : f.top + f.samples.shape[0], f.left : f.left + f.samples.shape[1]]
@@ -231,12 +242,11 @@ def compose(gif: Gif) -> list[np.ndarray]:
         palette[: len(f.palette), :3], palette[:, 3] = f.palette, 255
         drawn = samples != f.transparent if f.transparent is not None else np.ones(samples.shape, bool)
         area[drawn] = palette[samples[drawn]]
-        out.append(canvas.copy())
+        yield canvas
         if f.disposal == 2:
             area[:] = 0
         elif before is not None:
             canvas = before
-    return out
 
 
 def histogram(seen: np.ndarray) -> np.ndarray:
@@ -246,24 +256,47 @@ def histogram(seen: np.ndarray) -> np.ndarray:
     return np.r_[np.bincount(levels @ np.array([LEVELS * LEVELS, LEVELS, 1]), minlength=LEVELS**3), (~opaque).sum()]
 
 
-_GREYS = b"".join(bytes((i, i, i)) for i in range(256))
+#: The colour of each byte: its red is the byte itself.
+_COLOURS = np.stack([np.arange(256), np.arange(256) * 5 % 256, np.arange(256) * 11 % 256], axis=1).astype(np.uint8)
+#: Disposals of written frames, in turn.
+_DISPOSALS = (1, 2, 3)
 
 
 def write(payload: bytes) -> bytes:
-    """A GIF that holds the payload (a multiple of 64 bytes) as samples of a grey palette."""
+    """A GIF whose frames show the payload (a multiple of 64 bytes)."""
     rows = len(payload) // ROW
-    parts = [b"GIF89a", struct.pack("<HHBBB", ROW, max(1, min(rows, FRAME_ROWS)), 0xF7, 0, 0), _GREYS]
-    for at in range(0, rows, FRAME_ROWS):
-        h = min(FRAME_ROWS, rows - at)
-        stream = lzw_encode(payload[at * ROW : (at + h) * ROW])
-        parts.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 4, DELAY, 0, 0) + struct.pack("<BHHHHBB", 0x2C, 0, 0, ROW, h, 0, 8))
+    pixels = np.frombuffer(payload, np.uint8).reshape(rows, ROW)
+    parts = [b"GIF89a", struct.pack("<HHBBB", ROW, max(1, min(rows, FRAME_ROWS)), 0xF7, 0, 0), _COLOURS.tobytes()]
+    canvas = np.full((FRAME_ROWS, ROW), -1, np.int16)  # the byte that each pixel shows; -1: none
+    for number, at in enumerate(range(0, rows, FRAME_ROWS)):
+        want = pixels[at : at + FRAME_ROWS]
+        h, own, disposal = len(want), number % 2 == 1, _DISPOSALS[number % 3]
+        samples = ~want if own else want  # a palette of its own runs backwards
+        free = np.flatnonzero(np.bincount(samples.ravel(), minlength=256) == 0)
+        there = want == canvas[:h]
+        see_through = len(free) > 0 and bool(there.any())
+        clear = int(free[0]) if see_through else 0
+        if see_through:
+            samples = np.where(there, np.uint8(clear), samples)
+        stream = lzw_encode(samples.tobytes())
+        parts.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | see_through, DELAY, clear, 0) + struct.pack("<BHHHHB", 0x2C, 0, 0, ROW, h, 0x87 if own else 0))
+        parts.append((_COLOURS[::-1].tobytes() if own else b"") + b"\x08")
         for i in range(0, len(stream), 255):
             block = stream[i : i + 255]
             parts += [bytes((len(block),)), block]
         parts.append(b"\0")
+        if disposal == 1:
+            canvas[:h] = want
+        elif disposal == 2:
+            canvas[:h] = -1
     return b"".join([*parts, b";"])
 
 
+def shown_bytes(frame: Frame, seen: np.ndarray) -> bytes:
+    """The bytes that a written frame shows."""
+    return seen[: frame.samples.shape[0], :, 0].tobytes()
+
+
 def payload_of(text: str | None) -> bytes:
     """UTF-8 of the text with zero bytes up to a positive multiple of 64."""
     raw = (text or "").encode()
@@ -302,11 +335,10 @@ def decode_media(frame: DataFrame, media: str = "media", frames: str = "frames",
             return None, None
         try:
             gif = parse(data)
-            seen = compose(gif)
         except GifError as e:
             return None, str(e)
         out, start = [], 0
-        for f, shown in zip(gif.frames, seen, strict=True):
+        for f, shown in zip(gif.frames, compose(gif), strict=True):
             out.append({"start_ms": start, "duration_ms": 10 * f.delay, "width": f.samples.shape[1], "height": f.samples.shape[0], "histogram": histogram(shown).tolist()})
             start += 10 * f.delay
         return out, None
@@ -314,20 +346,23 @@ def decode_media(frame: DataFrame, media: str = "media", frames: str = "frames",
     return _mapped(frame, [T.StructField(frames, T.ArrayType(one)), T.StructField(error, T.StringType())], media, make)
 
 
-def _feature(gif: Gif) -> str:
-    """Frames, duration in milliseconds and the grey levels' histogram of all frames, in hexadecimal."""
-    counts = sum((np.bincount(f.samples.ravel(), minlength=256).reshape(16, 16).sum(axis=1) for f in gif.frames), np.zeros(16, np.int64))
-    return f"{len(gif.frames)}:{sum(10 * f.delay for f in gif.frames)}:" + ",".join(f"{int(c):x}" for c in counts)
+def _feature(frames: int, duration: int, counts: np.ndarray) -> str:
+    """Frames, duration in milliseconds and the colour histogram of all that is shown: colour and count in hexadecimal."""
+    return f"{frames}:{duration}:" + ",".join(f"{i:x}={int(counts[i]):x}" for i in np.flatnonzero(counts))
 
 
 def round_trip(frame: DataFrame, text: str = "text") -> DataFrame:
-    """Store every whole text, read the stored bytes back, and keep sizes, digests and a feature of what was read."""
+    """Store every whole text, read what the stored frames show, and keep sizes, digests and a feature of what was read."""
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
 
     def make(x):
         media = write(payload_of(x))
         gif = parse(media)
-        back = b"".join(f.samples.tobytes() for f in gif.frames)
-        return len((x or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), _feature(gif)
+        back, counts = [], np.zeros(LEVELS**3 + 1, np.int64)
+        for f, seen in zip(gif.frames, compose(gif), strict=True):
+            back.append(shown_bytes(f, seen))
+            counts += histogram(seen)
+        back = b"".join(back)
+        return len((x or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), _feature(len(gif.frames), sum(10 * f.delay for f in gif.frames), counts)
 
     return _mapped(frame.withColumn(text, F.col(text).cast("string")), fields, text, make)
