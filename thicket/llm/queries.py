@@ -173,42 +173,34 @@ FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delete later copies of repeated runs of lines with ten words or more."""
+    """Delete later copies of repeated runs of lines that aren't all blank."""
     kept = line_dedup.dedupe(_documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: All runs of lines, of any length, with a word in them.
 OP10_SQL = r"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), lines AS (
-  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM split
-), counted AS (
-  SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines
-), summed AS (
-  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM counted
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1)::BIGINT AS pos FROM split
+), named AS (
+  SELECT *, dense_rank() OVER (ORDER BY line) AS id, regexp_matches(line, '[^\x20\x09-\x0D]') AS words FROM lines
+), listed AS (
+  SELECT doc_id, list(id ORDER BY pos) AS ids, list(words ORDER BY pos) AS words FROM named GROUP BY doc_id
 ), starts AS (
-  SELECT x.doc_id, x.pos AS s, min(y.pos) AS e
-  FROM summed x JOIN summed y ON x.doc_id = y.doc_id AND y.pos >= x.pos AND y.upto - (x.upto - x.words) >= 10
-  GROUP BY ALL
-), ends AS (
-  SELECT y.doc_id, max(x.pos) AS s, y.pos AS e
-  FROM summed y JOIN summed x ON x.doc_id = y.doc_id AND x.pos <= y.pos AND y.upto - (x.upto - x.words) >= 10
-  GROUP BY y.doc_id, y.pos
+  SELECT doc_id, ids, words, unnest(generate_series(1, len(ids))) AS s FROM listed
 ), runs AS (
-  SELECT DISTINCT doc_id, s, e FROM (SELECT doc_id, s, e FROM starts UNION ALL SELECT doc_id, s, e FROM ends)
-), spelled AS (
-  SELECT r.doc_id, r.s, r.e, md5(array_to_string(list_slice(p.parts, r.s + 1, r.e + 1), chr(10))) AS body
-  FROM runs r JOIN split p USING (doc_id)
+  SELECT doc_id, s, e, md5(array_to_string(list_slice(ids, s, e), ',')) AS body
+  FROM (SELECT doc_id, ids, words, s, unnest(generate_series(s, len(ids))) AS e FROM starts) WHERE list_bool_or(list_slice(words, s, e))
 ), late AS (
-  SELECT doc_id, s, e FROM spelled
-  QUALIFY row_number() OVER (PARTITION BY e - s, body ORDER BY doc_id, s) > 1
+  SELECT doc_id, s, e FROM runs QUALIFY row_number() OVER (PARTITION BY e - s, body ORDER BY doc_id, s) > 1
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(generate_series(s, e)) AS pos FROM late
 )
 SELECT c.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
        sha256(coalesce(string_agg(c.line, chr(10) ORDER BY c.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
-FROM counted c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.pos = g.pos
+FROM named c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.pos = g.pos
 GROUP BY c.doc_id
 """
 
