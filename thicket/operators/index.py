@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,22 @@ def refresh(index: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def save(index: DataFrame, path: str) -> None:
-    """Write an index, with its version, in place of what is there."""
-    index.withColumn("version", F.lit(VERSION)).write.mode("overwrite").parquet(path)
+    """Write an index, with its version, beside what is there, and then put it in its place. ``index`` may have been read from there."""
+    put_in_place(index.withColumn("version", F.lit(VERSION)), path)
+
+
+def put_in_place(frame: DataFrame, path: str) -> None:
+    """Write a table to a folder beside ``path`` and rename it; a job that dies before leaves the old one, and one that dies between the renames leaves both beside it."""
+    context = frame.sparkSession.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path
+    new, old = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new", f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
+    frame.write.parquet(new)
+    store = hadoop(path).getFileSystem(context._jsc.hadoopConfiguration())
+    if store.exists(hadoop(path)) and not store.rename(hadoop(path), hadoop(old)):
+        raise OSError(f"{path} can't be moved")
+    if not store.rename(hadoop(new), hadoop(path)):
+        raise OSError(f"{new} can't be moved to {path}")
+    store.delete(hadoop(old), True)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -261,6 +261,45 @@ def index_status(spark, sf_dir):
     return index.status(*_walk(spark, sf_dir)).select("path", "status")
 
 
+@query("SELECT source || '/' || doc_id || '.' || lang AS path FROM documents WHERE doc_id % 7 = 3 OR doc_id % 5 = 0 OR contains(text, 'idiot')")
+def index_candidates(spark, sf_dir):
+    """Files that a search has to parse: not indexed, stale, or fresh with a filter that allows for the text. The filters' false positives are told by the texts here, so that SQL can say the same."""
+    files, earlier = _walk(spark, sf_dir)
+    earlier = earlier.drop("bits").join(index.entries(files).select("path", "bits"), "path")
+    found = index.candidates(files, earlier, ['(word) @w (#eq? @w "idiot")'])
+    fresh = index.status(found, earlier).filter("status = 'fresh'").filter(~F.contains(F.col("content").cast("string"), F.lit("idiot"))).select("path")
+    return found.join(fresh, "path", "left_anti").select("path")
+
+
+@query("SELECT source || '/' || doc_id || '.' || lang AS path, (doc_id % 97)::BIGINT AS mtime_secs, octet_length(encode(text))::BIGINT AS file_size_bytes, doc_id % 7 = 3 OR doc_id % 5 = 0 AS renewed FROM documents WHERE doc_id % 3 <> 0")
+def index_refresh(spark, sf_dir):
+    """The index after a walk in which every third file is gone; an entry that was taken over has no filter bits here."""
+    files, earlier = _walk(spark, sf_dir)
+    found = index.refresh(earlier, files.filter("file_id % 3 <> 0"))
+    return found.select("path", "mtime_secs", "file_size_bytes", (F.size("bits") > 0).alias("renewed"))
+
+
+@query(_TREE + "SELECT path AS file_path, no::INTEGER AS start_line, col::INTEGER AS start_col, no::INTEGER AS end_line, (col + size)::INTEGER AS end_col, start::BIGINT AS start_byte, (start + size)::BIGINT AS end_byte, 'w' AS capture_name, body AS matched_text FROM word WHERE body = 'idiot'")
+def indexed_search(spark, sf_dir):
+    """A search that parses only files whose filters allow for the text."""
+    files = tables.documents(spark, sf_dir)
+    return search.search(files, ['(word) @w (#eq? @w "idiot")'], "text", index=index.entries(files))
+
+
+@query(_TREE + ", hit AS (SELECT * FROM word WHERE body = 'idiot') SELECT (SELECT count(*) FROM documents) AS files_walked, (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS files_skipped, (SELECT count(DISTINCT path) FROM hit) AS files_with_matches, (SELECT count(*) FROM hit) AS matches, (SELECT count(*) FROM documents WHERE text <> '' AND (doc_id % 7 = 3 OR doc_id % 5 = 0)) AS index_updates")
+def search_counters(spark, sf_dir):
+    """What a search went through; how many files the filters reject is not told, as it depends on false positives."""
+    files, earlier = _walk(spark, sf_dir)
+    queries = ['(word) @w (#eq? @w "idiot")']
+    earlier = earlier.drop("bits").join(index.entries(files).select("path", "bits"), "path")
+    found = search.counters(files, search.search(files, queries, "text", index=earlier), earlier, queries)
+    return found.select("files_walked", "files_skipped", "files_with_matches", "matches", "index_updates")
+
+
+_GAPS = ('(line (word) @a (word) @b (#eq? @a "la") (#eq? @b "de"))',)
+_pattern("match_gap_siblings", list(_GAPS), _words("a", "body = 'la' AND EXISTS (FROM word x WHERE x.doc_id = word.doc_id AND x.no = word.no AND x.idx > word.idx AND x.body = 'de')") + " UNION " + _words("b", "body = 'de' AND EXISTS (FROM word x WHERE x.doc_id = word.doc_id AND x.no = word.no AND x.idx < word.idx AND x.body = 'la')"))
+
+
 @query("SELECT source || '/' || doc_id || '.' || lang AS path FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 3 = 0")
 def index_removed(spark, sf_dir):
     """Entries whose files are gone: every third is."""
@@ -290,7 +329,13 @@ _SHOWN = " SELECT path, kind, name, start_line, start_col FROM "
 @query(_SYMBOLS + _SHOWN + "sym WHERE name = (SELECT min(name) FROM sym)")
 def symbols_exact(spark, sf_dir):
     found = _symbols(spark, sf_dir)
-    return found.join(found.agg(F.min("name").alias("name")), "name").select("path", "kind", "name", "start_line", "start_col")
+    return symbols.exact(found, found.agg(F.min("name")).first()[0] or "").select("path", "kind", "name", "start_line", "start_col")
+
+
+@query(_SYMBOLS + _SHOWN + "sym WHERE kind = 'import' AND name = (SELECT max(name) FROM sym)")
+def symbols_name_and_kind(spark, sf_dir):
+    found = _symbols(spark, sf_dir)
+    return symbols.by_kind(found, "import", found.agg(F.max("name")).first()[0] or "").select("path", "kind", "name", "start_line", "start_col")
 
 
 @query(_SYMBOLS + _SHOWN + "sym WHERE name ILIKE 's%' ORDER BY name, path, start_line, start_col LIMIT 100")

@@ -14,7 +14,7 @@ def as_files(frame: DataFrame, file_id, path, language, text) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return as_files(d, F.col("doc_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang"), F.lit("text"), F.col("text"))
+    return as_files(d, F.col("doc_id"), F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("."), F.coalesce("lang", F.lit(""))), F.lit("text"), F.col("text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
