@@ -12,12 +12,12 @@ every member is held against one set: of the least and greatest members of its
 buckets that with which it shares most keys. That links up a large group of near
 copies with one pair for each. Of buckets that are then still in several
 components, a set goes if so many of its shingles are in no other such set that it
-can't be alike to any. The others are held against the most central member of a
-bucket, the one with the least share of such shingles; that is repeated with other
-components' while the pairs left are more than ``LEFT`` for each member, ``TURNS``
-times at most. What is left then are pairs of a bucket in different components,
-and all of them are compared, so no link is lost. Sizes whose ratio rules a pair
-out are never compared.
+can't be alike to any of its bucket. The others are held against the most central
+member of a bucket, the one with the least share of such shingles, and then, while
+the pairs left are more than ``LEFT`` for each member and ``TURNS`` allows, against
+that of another component. What is left then are pairs of a bucket in different
+components; all of them are compared, so no link is lost, but those that can't be
+alike by their sizes and numbers of shingles of their own.
 
 Defined results: null and blank texts have the empty set and are alike; texts
 with fewer words than a shingle are one shingle; an empty table gives an empty
@@ -41,7 +41,7 @@ from thicket.llm.lineage import cut
 LIKE = 0.8
 BANDS, ROWS = 20, 5
 #: Pairs left for each member of a bucket that are compared outright, and how often central members are tried before.
-LEFT, TURNS = 2, 8
+LEFT, TURNS = 2, 2
 #: Rows of keys that are broadcast at most.
 FEW = 50_000
 #: Shingle hashes multiplied together.
@@ -148,22 +148,29 @@ def _links(nodes: DataFrame, docs: DataFrame, frame: DataFrame, words: int, like
     asked = members.select("node").distinct()
     single = sets.join(asked, "node").select("node", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("held"), F.min("node").alias("node")).filter("held = 1")
     single = single.groupBy("node").agg(F.count("*").alias("own"))
-    members = members.drop("root").join(single, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter((F.col("n") - F.col("own")) >= like * F.col("n"))
-    members = _several(members, edges)
+    members = members.drop("root").join(single, "node", "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    # of a set of n with ``held`` shingles that others have, and one of m or more, at most ``held`` are in both
+    least = members.groupBy("key").agg(F.min("n").alias("m"))
+    able = F.col("held") >= like * (F.col("n") + F.greatest(F.col("m"), F.col("held")) - F.col("held"))
+    members = _several(members.join(least, "key").filter(able).drop("m"), edges)
     for turn in range(TURNS):
         sizes = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
         left, total = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
         if not total or left <= LEFT * total:
             break
         # the most central member of all first, then that of some component, drawn by a hash
-        share = (F.col("own") / F.col("n")) if turn == 0 else F.xxhash64("root", F.lit(turn)).cast("double")
-        central = members.groupBy("key").agg(F.min(F.struct(share.alias("share"), (F.col("own") / F.col("n")).alias("part"), "n", "node", "root")).alias("c"))
+        part = -F.col("held") / F.col("n")
+        share = part if turn == 0 else F.xxhash64("root", F.lit(turn)).cast("double")
+        central = members.groupBy("key").agg(F.min(F.struct(share.alias("share"), part.alias("part"), "n", "node", "root")).alias("c"))
         found = members.join(central, "key").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n")))
         found = cut(_best(found.select("key", "node", F.col("c.node").alias("pivot"))).join(done, ["a", "b"], "left_anti").distinct())
         edges, done = edges.union(_confirmed(found, sets, like)), done.union(found)
         members = _several(members.drop("root"), edges)
-    x, y = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "xy")
-    rest = x.join(y, "key").filter((F.col("root_x") < F.col("root_y")) & fits(F.col("n_x"), F.col("n_y"))).select(*_pair(F.col("node_x"), F.col("node_y"))).distinct()
+    x, y = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "held", "root"))) for s in "xy")
+    both = F.least("held_x", "held_y")
+    able = (F.col("root_x") < F.col("root_y")) & fits(F.col("n_x"), F.col("n_y")) & (both >= like * (F.col("n_x") + F.col("n_y") - both))
+    rest = x.join(y.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & able)
+    rest = rest.select(*_pair(F.col("node_x"), F.col("node_y"))).distinct()
     return edges.union(_confirmed(rest.join(done, ["a", "b"], "left_anti"), sets, like))
 
 
