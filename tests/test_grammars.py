@@ -39,6 +39,11 @@ def test_anonymous_tokens_and_broken_sources():
     for language in grammars.names():
         for source in ("", "fn (", "{{{", "class", "def", "import", "'", "typedef struct", "type", "func (x", "# include"):
             grammars.get(language).parse(source.encode())
+        for n in (99, 100, 101, 5000):
+            for opened, closed in ("()", "{}", "[]"):
+                grammars.get(language).parse((opened * n).encode())
+                grammars.get(language).parse((opened * n + "x" + closed * n + " y").encode())
+    assert found("rust", "mod a " + "{" * 3000 + "}" * 3000 + "\nfn after() {}", "(function_item name: (identifier) @f)") == [("after", 2, 3)]
 
 
 def test_quantifiers_and_alternations():

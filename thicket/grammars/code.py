@@ -16,6 +16,8 @@ from thicket.grammars import register
 from thicket.grammars.tree import Tree
 
 _OPEN = {"(": ")", "[": "]", "{": "}"}
+#: Brackets inside each other that make groups.
+DEPTH = 100
 
 
 @dataclass
@@ -87,20 +89,40 @@ class CodeGrammar:
         return root
 
     def _nest(self, tokens, i, closing):
-        """Items: (value, node) of a token, or (bracket, node, inner items) of a group."""
-        out = []
+        """Items: (value, node, ...) of a token, or of a bracket with its inner items. Open brackets wait on a stack, so depth doesn't matter here."""
+        out: list[tuple] = []
+        waiting: list[tuple] = []  # the items around a bracket, and the bracket
+        flat: list[str] = []
         while i < len(tokens):
             value, node, start = tokens[i]
-            if not node.named and value in _OPEN:
-                inner, j = self._nest(tokens, i + 1, _OPEN[value])
-                group = Tree(self.language.block if value == "{" else "bracketed", node.start, tokens[j][1].end if j < len(tokens) else tokens[-1][1].end, error=j >= len(tokens))
-                out.append((value, group, inner, start, node, tokens[j][1] if j < len(tokens) else None))
-                i = j + 1
-                continue
-            if not node.named and value == closing:
-                return out, i
-            out.append((value, node, None, start, None, None))
+            if flat and not node.named and (value == flat[-1] or value in _OPEN):
+                # brackets inside too many others stay plain tokens
+                if value == flat[-1]:
+                    flat.pop()
+                else:
+                    flat.append(_OPEN[value])
+                out.append((value, node, None, start, None, None))
+            elif not node.named and value in _OPEN and len(waiting) == DEPTH:
+                flat.append(_OPEN[value])
+                out.append((value, node, None, start, None, None))
+            elif not node.named and value in _OPEN:
+                waiting.append((out, value, node, start, closing))
+                out, closing = [], _OPEN[value]
+            elif not node.named and value == closing:
+                if not waiting:
+                    return out, i
+                inner = out
+                out, value, first, start, closing = waiting.pop()
+                group = Tree(self.language.block if value == "{" else "bracketed", first.start, node.end)
+                out.append((value, group, inner, start, first, node))
+            else:
+                out.append((value, node, None, start, None, None))
             i += 1
+        while waiting:
+            inner = out
+            out, value, first, start, closing = waiting.pop()
+            group = Tree(self.language.block if value == "{" else "bracketed", first.start, tokens[-1][1].end, error=True)
+            out.append((value, group, inner, start, first, None))
         return out, i
 
     def _group(self, item, kind: str, top: bool = False) -> Tree:
