@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 ROW = 64
 #: Rows of a frame that ``write`` makes; larger payloads become several frames.
-FRAME_ROWS = 32
+FRAME_ROWS = 64
 #: Most pixels of a canvas, and of a frame, that is decoded.
 CANVAS = 1 << 24
 #: Hundredths of a second a written frame is shown.
@@ -236,12 +236,13 @@ def compose(gif: Gif) -> Iterator[np.ndarray]:
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
-        area = canvas[f.top : f.top + f.samples.shape[0], f.left : f.left + f.samples.shape[1]]
+        # a pixel's four bytes are drawn as one number
+        area = canvas.view(np.uint32)[f.top : f.top + f.samples.shape[0], f.left : f.left + f.samples.shape[1], 0]
         samples = f.samples[: area.shape[0], : area.shape[1]]
         palette = np.zeros((256, 4), np.uint8)
         palette[: len(f.palette), :3], palette[:, 3] = f.palette, 255
-        drawn = samples != f.transparent if f.transparent is not None else np.ones(samples.shape, bool)
-        area[drawn] = palette[samples[drawn]]
+        colours = palette.view(np.uint32)[:, 0].take(samples)
+        np.copyto(area, colours, where=True if f.transparent is None else samples != f.transparent)
         yield canvas
         if f.disposal == 2:
             area[:] = 0
@@ -249,11 +250,14 @@ def compose(gif: Gif) -> Iterator[np.ndarray]:
             canvas = before
 
 
+_LEVEL = (np.arange(256) * LEVELS >> 8).astype(np.uint8)
+
+
 def histogram(seen: np.ndarray) -> np.ndarray:
     """Counts of opaque pixels by colour, each channel cut to ``LEVELS`` levels; last: pixels that show nothing."""
-    opaque = seen[..., 3] > 0
-    levels = seen[..., :3][opaque].astype(np.int64) * LEVELS >> 8
-    return np.r_[np.bincount(levels @ np.array([LEVELS * LEVELS, LEVELS, 1]), minlength=LEVELS**3), (~opaque).sum()]
+    colour = (_LEVEL.take(seen[..., 0]) * np.uint8(LEVELS) + _LEVEL.take(seen[..., 1])) * np.uint8(LEVELS) + _LEVEL.take(seen[..., 2])
+    colour[seen[..., 3] == 0] = LEVELS**3
+    return np.bincount(colour.ravel(), minlength=LEVELS**3 + 1)
 
 
 #: The colour of each byte: its red is the byte itself.
