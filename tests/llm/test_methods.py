@@ -61,13 +61,14 @@ def _run(texts, crowd, monkeypatch):
     def for_block(rows, b):
         return rows.filter(pa.compute.equal(rows["block"], b))
 
-    def every(emit, answer, replies):
-        return answer(pa.concat_tables([emit(100, 1)(key[b], t, for_block(replies, b)) for b, t in tables.items()]))
+    def every(emit, answers, replies):
+        rows = pa.concat_tables([emit(100, 1)(key[b], t, for_block(replies, b)) for b, t in tables.items()])
+        return pa.concat_tables([answer(rows) for answer in answers])
 
     known = suffix_dedup._answer_minimizers(pa.concat_tables([suffix_dedup._emit_minimizers(100, 1)(key[b], t) for b, t in tables.items()]))
-    known = pa.concat_tables([known, every(suffix_dedup._emit_segments, suffix_dedup._answer_segments, known)])
-    known = pa.concat_tables([known, every(suffix_dedup._emit_bodies, suffix_dedup._compare(100), known)])
-    last = pa.concat_tables([known, every(suffix_dedup._emit_windows, suffix_dedup._compare(100), known)])
+    known = pa.concat_tables([known, every(suffix_dedup._emit_segments, [suffix_dedup._answer_segments], known)])
+    known = pa.concat_tables([known, every(suffix_dedup._emit_bodies, [suffix_dedup._answer_windows, suffix_dedup._compare(100)], known)])
+    last = pa.concat_tables([known, every(suffix_dedup._emit_windows, [suffix_dedup._compare(100)], known)])
     out = {}
     for b, t in tables.items():
         for r in suffix_dedup._delete(100)(t, for_block(last, b)).to_pylist():

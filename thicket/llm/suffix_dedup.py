@@ -45,7 +45,7 @@ from thicket.llm.suffix_array import ranges, suffix_arrays
 #: Bytes of the strings that minimizers are chosen from.
 GRAM = 32
 #: Different segments of a minimizer that meet in one bucket at most.
-CROWD = 64
+CROWD = 1024
 #: Bytes whose segments are found together; places within it take 17 bits.
 PIECE = 1 << 16
 #: Symbols that a bucket gives to suffix arrays at once.
@@ -391,22 +391,27 @@ def _compare(size: int):
                 for records, numbers in answer(heads[at:to], blocks[at:to], bodies[at:to], asks[here], askers[here]):
                     rows += B.answers(RUN, records, numbers)
                 at = to
-        windows, blocks = B.gathered(table, WINDOW, _SEGMENT)
-        if len(windows):
-            order = np.lexsort((blocks, windows["doc"], windows["none"], windows["more"], windows["hash"]))
-            w, b = windows[order], blocks[order]
-            new = np.r_[True, (w["hash"][1:] != w["hash"][:-1]) | (w["more"][1:] != w["more"][:-1])]
-            head = np.flatnonzero(new)
-            members = np.diff(np.r_[head, len(w)])
-            company = np.repeat((members > 1) | (w["many"][head] > 0), members)
-            states = np.empty(len(w), _STATE)
-            states["hash"], states["more"], states["state"] = w["hash"], w["more"], np.where(new, _FIRST, 0)
-            rows += B.answers(OWNER, states[company], b[company])
         return B.table_of(rows)
 
     return run
 
 
+def _answer_windows(table):
+    """To all blocks with a window in company: whether it is the earliest owner."""
+    w, blocks = B.gathered(table, WINDOW, _SEGMENT)
+    if not len(w):
+        return B.table_of([])
+    order = np.lexsort((blocks, w["doc"], w["none"], w["more"], w["hash"]))
+    w, blocks = w[order], blocks[order]
+    new = np.r_[True, (w["hash"][1:] != w["hash"][:-1]) | (w["more"][1:] != w["more"][:-1])]
+    head = np.flatnonzero(new)
+    members = np.diff(np.r_[head, len(w)])
+    company = np.repeat((members > 1) | (np.maximum.reduceat(w["many"], head) > 0), members)
+    states = np.empty(len(w), _STATE)
+    states["hash"], states["more"], states["state"] = w["hash"], w["more"], np.where(new, _FIRST, 0)
+    return B.table_of(B.answers(OWNER, states[company], blocks[company]))
+
+
 def _run_records(heads: np.ndarray, start: np.ndarray, count: np.ndarray, first: int) -> np.ndarray:
     out = np.empty(len(heads), _RUN)
     out["hash"], out["more"], out["start"], out["count"], out["first"] = heads["hash"], heads["more"], start, count, first
@@ -471,13 +476,19 @@ def dedupe(frame: DataFrame, size: int = 100, id_col: str = "doc_id", text: str
     docs = B.with_blocks(frame.filter(long), total, id_col, text)
     buckets = max(1, total // (2 * B.BUCKET_BYTES))
 
-    def answered(replies, emit, answer):
-        return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(emit(size, buckets), B.PACKED).groupBy("bucket").applyInArrow(answer, B.PACKED)
+    def emitted(replies, emit):
+        return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(emit(size, buckets), B.PACKED)
+
+    def answered(rows, answer):
+        return rows.groupBy("bucket").applyInArrow(answer, B.PACKED)
 
-    known = docs.groupBy("block").applyInArrow(_emit_minimizers(size, buckets), B.PACKED).groupBy("bucket").applyInArrow(_answer_minimizers, B.PACKED)
-    known = known.unionByName(answered(known, _emit_segments, _answer_segments))
-    known = known.unionByName(answered(known, _emit_bodies, _compare(size)))
-    known = known.unionByName(answered(known, _emit_windows, _compare(size)))
+    known = answered(docs.groupBy("block").applyInArrow(_emit_minimizers(size, buckets), B.PACKED), _answer_minimizers)
+    known = known.unionByName(answered(emitted(known, _emit_segments), _answer_segments))
+    bodies = emitted(known, _emit_bodies)
+    # what the suffix arrays say is asked for once, at the end, as each use would build them again
+    known = known.unionByName(answered(bodies, _answer_windows))
+    windows = emitted(known, _emit_windows)
+    known = known.unionByName(answered(bodies, _compare(size))).unionByName(answered(windows, _compare(size)))
     kept = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_delete(size), RESULT)
     n = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
