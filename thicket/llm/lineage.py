@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
@@ -11,6 +13,23 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two releases of what past rounds left on disk.
+REST = 2.0
+_released = [0.0]
+
+
+def _release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that no frame needs any more.
+
+    Spark deletes them once the driver's garbage collector finds their owners
+    gone, by default every half hour; until then the rounds of an iterative job
+    pile up on the executors' disks, however small the last round is.
+    """
+    if time.monotonic() - _released[0] >= REST:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
+
 
 def _ready(spark: SparkSession) -> str:
     context = spark.sparkContext
@@ -30,8 +49,12 @@ def cut(frame: DataFrame) -> DataFrame:
     Where that setting is empty, a folder of our own is made only if driver and
     executors are one process on one machine, as in tests; a cluster is refused.
     """
-    _ready(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    spark = frame.sparkSession
+    _ready(spark)
+    kept = frame.checkpoint(eager=True)
+    del frame
+    _release(spark)
+    return kept
 
 
 def shared_folder(spark: SparkSession) -> str:
