@@ -16,8 +16,8 @@ can't be alike to any of its bucket. The others are held against the most centra
 member of a bucket, the one with the least share of such shingles, and then, while
 the pairs left are more than ``LEFT`` for each member and ``TURNS`` allows, against
 that of another component. What is left then are pairs of a bucket in different
-components; all of them are compared, so no link is lost, but those that can't be
-alike by their sizes and numbers of shingles of their own.
+components; all of them are compared, each under one key, so no link is lost, but
+those that can't be alike by their sizes and numbers of shingles of their own.
 
 Defined results: null and blank texts have the empty set and are alike; texts
 with fewer words than a shingle are one shingle; an empty table gives an empty
@@ -166,11 +166,15 @@ def _links(nodes: DataFrame, docs: DataFrame, frame: DataFrame, words: int, like
         found = cut(_best(found.select("key", "node", F.col("c.node").alias("pivot"))).join(done, ["a", "b"], "left_anti").distinct())
         edges, done = edges.union(_confirmed(found, sets, like)), done.union(found)
         members = _several(members.drop("root"), edges)
-    x, y = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "held", "root"))) for s in "xy")
+    # a pair that shares several keys is made under the least of those that both still have
+    here = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    members = cut(members.join(here, "node"))
+    x, y = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "held", "root", "keys"))) for s in "xy")
     both = F.least("held_x", "held_y")
     able = (F.col("root_x") < F.col("root_y")) & fits(F.col("n_x"), F.col("n_y")) & (both >= like * (F.col("n_x") + F.col("n_y") - both))
-    rest = x.join(y.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & able)
-    rest = rest.select(*_pair(F.col("node_x"), F.col("node_y"))).distinct()
+    once = F.col("key") == F.array_min(F.array_intersect("keys_x", "keys_y"))
+    rest = x.join(y.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & able & once)
+    rest = rest.select(*_pair(F.col("node_x"), F.col("node_y")))
     return edges.union(_confirmed(rest.join(done, ["a", "b"], "left_anti"), sets, like))
 
 
