@@ -235,7 +235,7 @@ class CodeGrammar:
                     pass
                 return out, k
             elif value == ";" or stop and "\n" in self.text[items[k - 1][3] : items[k][3]] and out.kind not in ("class_declaration", "interface_declaration", "function_declaration", "method_declaration"):
-                if value == ";" and lang.name == "rust":
+                if value == ";" and (lang.name == "rust" or out.kind == "type_alias_declaration"):
                     out.add(node)
                     out.end = node.end
                     k += 1
@@ -309,18 +309,37 @@ class CodeGrammar:
             if "\n" in self.text[items[k - 1][3] : items[k][3]] and inner is None and not (items[k - 1][0] in (",", "from")):
                 break
             if node.kind == self.language.string:
-                if go:
-                    spec = out.add(Tree("import_spec", node.start, node.end))
-                    spec.add(node, "path")
-                else:
-                    out.add(node, "source")
+                out.add(node, None if go else "source")
             else:
-                out.add(self._group(items[k], "import_spec_list" if go else "named_imports") if inner is not None else node)
+                group = self._group(items[k], "import_spec_list" if go else "named_imports") if inner is not None else node
+                if go and inner is not None:
+                    group.children = self._import_specs(group.children)
+                out.add(group)
             out.end, k = node.end, k + 1
             if value == ";":
                 break
+        if go:
+            out.children = self._import_specs(out.children)
         return out, k
 
+    def _import_specs(self, nodes: list[Tree]) -> list[Tree]:
+        """A list of imports, each with the name that may stand before its path."""
+        out: list[Tree] = []
+        for node in nodes:
+            if node.kind == self.language.string:
+                named = bool(out) and (out[-1].kind in ("identifier", "."))
+                out.append(self._import_spec([out.pop(), node] if named else [node]))
+            else:
+                out.append(node)
+        return out
+
+    def _import_spec(self, nodes: list[Tree]) -> Tree:
+        spec = Tree("import_spec", nodes[0].start, nodes[-1].end)
+        for node, field in zip(reversed(nodes), ("path", "name")):
+            node.field = field
+        spec.children = nodes
+        return spec
+
     def _include(self, items, i):
         line_end = self.text.find("\n", items[i][3])
         line_end = len(self.text) if line_end < 0 else line_end
@@ -461,6 +480,7 @@ _C_SYMBOLS = [
 ]
 
 for _language in (
+    # The patterns in ``symbols`` and the node kinds.
     Language("rust", "source_file", _SLASHES, "line_comment", char=r"'(?:\\.|[^'\\])'", declared={"fn": ("function_item", "identifier"), "struct": ("struct_item", "type_identifier"), "enum": ("enum_item", "type_identifier"), "trait": ("trait_item", "type_identifier"), "type": ("type_item", "type_identifier"), "mod": ("mod_item", "identifier"), "use": ("use_declaration", "identifier"), "impl": ("impl_item", "type_identifier")},
              symbols=[("function", "(source_file (function_item name: (identifier) @name) @sig)"), ("struct", "(struct_item name: (type_identifier) @name) @sig"), ("typealias", "(type_item name: (type_identifier) @name) @sig"), ("import", "(use_declaration argument: (_) @name) @sig"), ("trait", "(trait_item name: (type_identifier) @name) @sig"), ("trait", "(impl_item trait: (_) @trait_name type: (_) @type_name) @sig"), ("enum", "(enum_item name: (type_identifier) @name) @sig")]),
     Language("python", "module", r"#[^\n]*", block_comment=None, string="string", strings=r'[rRbBfFuU]{0,2}(?:"""(?:\\.|[^\\])*?(?:"""|\Z)|\'\'\'(?:\\.|[^\\])*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?)', declared={"def": ("function_definition", "identifier"), "class": ("class_definition", "identifier")},
@@ -468,9 +488,9 @@ for _language in (
     Language("js", "program", _SLASHES, string="string", strings=_JS_STRINGS, declared=_JS, parameters="formal_parameters", block="statement_block", body="class_body",
              symbols=[("function", "(function_declaration name: (identifier) @name) @sig"), ("class", "(class_declaration name: (identifier) @name) @sig"), ("import", "(import_statement source: (string) @name) @sig")]),
     Language("ts", "program", _SLASHES, string="string", strings=_JS_STRINGS, declared=_TS, parameters="formal_parameters", block="statement_block", body="class_body",
-             symbols=[("function", "(function_declaration name: (identifier) @name) @sig"), ("class", "(class_declaration name: (type_identifier) @name) @sig"), ("interface", "(interface_declaration name: (type_identifier) @name) @sig"), ("typealias", "(type_alias_declaration name: (type_identifier) @name) @sig"), ("import", "(import_statement source: (string) @name) @sig"), ("enum", "(enum_declaration name: (identifier) @name) @sig")]),
+             symbols=[("function", "(function_declaration name: (identifier) @name) @sig"), ("class", "(class_declaration name: (type_identifier) @name) @sig"), ("interface", "(interface_declaration name: (type_identifier) @name) @sig"), ("typealias", "(type_alias_declaration name: (type_identifier) @name) @sig"), ("import", "(import_statement source: (string) @name) @sig")]),
     Language("go", "source_file", _SLASHES, string="interpreted_string_literal", strings=r'"(?:\\.|[^"\\\n])*"?|`[^`]*`?', declared={"func": ("function_declaration", "identifier"), "type": ("type_declaration", "type_identifier")}, parameters="parameter_list",
-             symbols=[("function", "(function_declaration name: (identifier) @name) @sig"), ("struct", "(type_declaration (type_spec name: (type_identifier) @name)) @sig"), ("import", "(import_declaration (import_spec path: (interpreted_string_literal) @name)) @sig")]),
+             symbols=[("function", "(function_declaration name: (identifier) @name) @sig"), ("struct", "(type_declaration (type_spec name: (type_identifier) @name) @sig)"), ("import", "(import_declaration (import_spec path: (interpreted_string_literal) @name) @sig)")]),
     Language("c", "translation_unit", _SLASHES, char=r"'(?:\\.|[^'\\])'", declared=_C, parameters="parameter_list", block="compound_statement", body="field_declaration_list", symbols=[*_C_SYMBOLS, ("struct", "(type_definition declarator: (type_identifier) @name) @sig")]),
     Language("cpp", "translation_unit", _SLASHES, char=r"'(?:\\.|[^'\\])'", declared={**_C, "class": ("class_specifier", "type_identifier")}, parameters="parameter_list", block="compound_statement", body="field_declaration_list", named_words=frozenset({"virtual"}), symbols=[*_C_SYMBOLS, ("class", "(class_specifier name: (type_identifier) @name) @sig")]),
 ):

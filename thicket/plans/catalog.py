@@ -416,3 +416,67 @@ def rewrite_overlap(spark, sf_dir):
     # the shorter of two ranges with one start comes first, and ends after the longer one's start
     widest = changes.groupBy("file_path", "start_byte").agg(F.max("end_byte").alias("end_byte"))
     return rewrite.overlaps(changes).select("file_path", "start_byte").join(widest, ["file_path", "start_byte"]).select("file_path", "start_byte", "end_byte").distinct()
+
+
+# Sources of every language; @@ stands for the document's id. Beside each, what is defined in it: kind, name, line, column, signature.
+_SOURCES = [
+    ("rust", "rs", "use std::io;\nstruct Point@@ { x: i32 }\nenum Mode@@ { A, B }\ntrait Shape@@ { }\nimpl Shape@@ for Point@@ { fn area(&self) -> i32 { 1 } }\ntype Id@@ = u64;\nfn run@@(n: i32) -> i32 { n }\n", [
+        ("import", "std::io", 1, 4, "use std::io;"), ("struct", "Point@@", 2, 7, "struct Point@@ { x: i32 }"), ("enum", "Mode@@", 3, 5, "enum Mode@@ { A, B }"), ("trait", "Shape@@", 4, 6, "trait Shape@@ { }"),
+        ("trait", "Shape@@ for Point@@", 5, 5, "impl Shape@@ for Point@@ { fn area(&self) -> i32 { 1 } }"), ("typealias", "Id@@", 6, 5, "type Id@@ = u64;"), ("function", "run@@", 7, 3, "fn run@@(n: i32) -> i32 { n }")]),
+    ("python", "py", "import os.path\nfrom a.b import c\nclass A@@(B):\n    def m(self):\n        return 1\ndef f@@(x):\n    return x\n", [
+        ("import", "os.path", 1, 7, "import os.path"), ("import", "a.b", 2, 5, "from a.b import c"), ("class", "A@@", 3, 6, "class A@@(B):\n    def m(self):\n        return 1"), ("function", "m", 4, 8, "def m(self):\n        return 1"), ("function", "f@@", 6, 4, "def f@@(x):\n    return x")]),
+    ("js", "js", "import x from 'y';\nclass A@@ { }\nfunction f@@(n) { return n; }\n", [
+        ("import", "'y'", 1, 14, "import x from 'y';"), ("class", "A@@", 2, 6, "class A@@ { }"), ("function", "f@@", 3, 9, "function f@@(n) { return n; }")]),
+    ("ts", "ts", "interface I@@ { a: string }\ntype T@@ = string;\nclass C@@ { }\nenum E@@ { X }\nfunction f@@(): void { }\n", [
+        ("interface", "I@@", 1, 10, "interface I@@ { a: string }"), ("typealias", "T@@", 2, 5, "type T@@ = string;"), ("class", "C@@", 3, 6, "class C@@ { }"), ("function", "f@@", 5, 9, "function f@@(): void { }")]),
+    ("go", "go", "package main\nimport \"fmt\"\nimport (\n\t\"os\"\n)\ntype P@@ struct {\n\tX int\n}\nfunc (p P@@) area() int {\n\treturn 1\n}\nfunc run@@() {\n}\n", [
+        ("import", '"fmt"', 2, 7, '"fmt"'), ("struct", "P@@", 6, 5, "P@@ struct {\n\tX int\n}"), ("function", "run@@", 12, 5, "func run@@() {\n}")]),
+    ("c", "c", "struct P@@ { int x; };\nenum M@@ { A };\ntypedef struct { int y; } Q@@;\nint add@@(int a) { return a; }\n", [
+        ("struct", "P@@", 1, 7, "struct P@@ { int x; }"), ("enum", "M@@", 2, 5, "enum M@@ { A }"), ("struct", "Q@@", 3, 26, "typedef struct { int y; } Q@@;"), ("function", "add@@", 4, 4, "add@@(int a)")]),
+    ("cpp", "cpp", "class A@@ { };\nint add@@(int a) { return a; }\n", [
+        ("class", "A@@", 1, 6, "class A@@ { }"), ("function", "add@@", 2, 4, "add@@(int a)")]),
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _code(spark, sf_dir):
+    """Each document's id as a source file of one of the languages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").filter("doc_id is not null")
+    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in _SOURCES)), F.pmod("doc_id", F.lit(len(_SOURCES))).cast("int") + 1)
+    name = F.col("doc_id").cast("string")
+    return tables.as_files(docs, F.col("doc_id"), F.concat(F.lit("code/"), name, F.lit("."), pick(1)), pick(0), F.replace(pick(2), F.lit("@@"), name))
+
+
+def _code_rows(kinds: str) -> str:
+    rows = [f"({i}, {_quoted(ext)}, {_quoted(kind)}, {_quoted(name)}, {line}, {col}, {_quoted(sig)})" for i, (_, ext, _, found) in enumerate(_SOURCES) for kind, name, line, col, sig in found if kind in kinds.split()]
+    return f"""SELECT 'code/' || doc_id || '.' || ext AS path, kind, replace(name, '@@', doc_id::VARCHAR) AS name, line::INTEGER AS start_line, col::INTEGER AS start_col, replace(sig, '@@', doc_id::VARCHAR) AS signature
+FROM documents JOIN (VALUES {', '.join(rows)}) v(slot, ext, kind, name, line, col, sig) ON doc_id % {len(_SOURCES)} = slot"""
+
+
+@query(_code_rows(" ".join(symbols.KINDS)))
+def code_symbols(spark, sf_dir):
+    """Definitions of all kinds in sources of the seven languages."""
+    return symbols.extract(_code(spark, sf_dir)).select("path", "kind", "name", "start_line", "start_col", "signature")
+
+
+@query("SELECT path AS file_path, start_line, start_col, 'n' AS capture_name, name AS matched_text FROM (" + _code_rows("class") + ") WHERE path NOT LIKE '%.py' AND path NOT LIKE '%.js'")
+def code_classes(spark, sf_dir):
+    """Classes by their names' kind, in the languages where that query compiles."""
+    found = search.search(_code(spark, sf_dir), ["(class_specifier name: (type_identifier) @n)", "(class_declaration name: (type_identifier) @n)"])
+    return found.select("file_path", "start_line", "start_col", "capture_name", "matched_text")
+
+
+@query("SELECT 'code/' || doc_id || '.go' AS file_path, line::INTEGER AS start_line, col::INTEGER AS start_col, path AS matched_text FROM documents, (VALUES (2, 7, '\"fmt\"'), (4, 1, '\"os\"')) v(line, col, path) WHERE doc_id % 7 = 4")
+def code_imports_go(spark, sf_dir):
+    """Imports by themselves and in a list."""
+    found = search.search(_code(spark, sf_dir), ["(import_spec path: (interpreted_string_literal) @p)"], "go")
+    return found.select("file_path", "start_line", "start_col", "matched_text")
+
+
+@query("SELECT 'code/' || doc_id || '.rs' AS file_path, 'area' AS matched_text FROM documents WHERE doc_id % 7 = 0")
+def code_methods_rust(spark, sf_dir):
+    """Functions inside implementations only."""
+    return search.search(_code(spark, sf_dir), ["(impl_item body: (declaration_list (function_item name: (identifier) @m)))"], "rust").select("file_path", "matched_text")
