@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,12 +95,13 @@ class Ignore:
 
 
 def listing(root: str) -> list[tuple[str, int, int]]:
-    """(path relative to root, bytes, modification second) of files that a search looks at. Links aren't followed."""
+    """(path relative to root, bytes, modification second) of files that a search looks at. Links aren't followed; what can't be read is left out with a warning."""
     root = os.path.realpath(root)
     if not os.path.isdir(root):
         raise ValueError(f"not a directory: {root}")
     in_repository = any(os.path.isdir(os.path.join(p, ".git")) for p in _upward(root))
     out: list[tuple[str, int, int]] = []
+    skipped: list[tuple[str, str]] = []
 
     def visit(folder: str, rules: list[Ignore]) -> None:
         own = list(rules)
@@ -108,7 +110,12 @@ def listing(root: str) -> list[tuple[str, int, int]]:
             if os.path.isfile(path):
                 with open(path, encoding="utf-8", errors="replace") as f:
                     own.append(Ignore(folder, f.read()))
-        for entry in sorted(os.scandir(folder), key=lambda e: e.name):
+        try:
+            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        except OSError as e:
+            skipped.append((os.path.relpath(folder, root), str(e)))
+            return
+        for entry in entries:
             if entry.is_symlink():
                 continue
             is_folder = entry.is_dir()
@@ -118,13 +125,38 @@ def listing(root: str) -> list[tuple[str, int, int]]:
             if is_folder:
                 visit(entry.path, own)
             else:
-                stat = entry.stat()
+                try:
+                    stat = entry.stat()
+                except OSError as e:
+                    skipped.append((os.path.relpath(entry.path, root), str(e)))
+                    continue
                 out.append((os.path.relpath(entry.path, root), stat.st_size, int(stat.st_mtime)))
 
-    visit(root, [])
+    visit(root, _outer_rules(root))
+    for path, error in skipped:
+        warnings.warn(f"skipped {path}: {error}", stacklevel=2)
     return out
 
 
+def _outer_rules(root: str) -> list[Ignore]:
+    """Rules that hold below ``root`` though they stand elsewhere, weakest first: those of the repository's own exclude file, and of the folders from the repository's top down to the parent of ``root``; ``.ignore`` files count in every parent folder."""
+    parents = list(_upward(root))
+    top = next((i for i, p in enumerate(parents) if os.path.isdir(os.path.join(p, ".git"))), None)
+    files = [] if top is None else [(parents[top], os.path.join(parents[top], ".git", "info", "exclude"))]
+    for i in range(len(parents) - 1, 0, -1):
+        names = ([".gitignore"] if top is not None and i <= top else []) + [".ignore"]
+        files += [(parents[i], os.path.join(parents[i], name)) for name in names]
+    rules = []
+    for base, path in files:
+        if os.path.isfile(path):
+            try:
+                with open(path, encoding="utf-8", errors="replace") as f:
+                    rules.append(Ignore(base, f.read()))
+            except OSError as e:
+                warnings.warn(f"skipped {path}: {e}", stacklevel=3)
+    return rules
+
+
 def _upward(path: str):
     while True:
         yield path
