@@ -8,7 +8,7 @@ import pytest
 from thicket.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["match_first_child", "match_adjacent", "match_nested_two_captures", "multi_query_dedup", "search_stats", "html_links", "lang_dispatch", "excluded_dirs", "bloom_bits", "sieve_candidates", "index_status", "symbols_prefix_limit100", "symbols_exact_else_contains", "rewrite_apply", "rewrite_overlap", "code_symbols", "code_classes", "code_imports_go", "code_methods_rust"]
+SOME = ["match_first_child", "match_adjacent", "match_nested_two_captures", "multi_query_dedup", "search_stats", "html_links", "lang_dispatch", "excluded_dirs", "bloom_bits", "sieve_candidates", "index_status", "symbols_prefix_limit100", "symbols_exact_else_contains", "rewrite_apply", "rewrite_overlap", "code_symbols", "code_classes", "code_imports_go", "code_methods_rust", "symbols_build", "symbols_counts"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables aren't here")
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket import grammars
-from thicket.operators import matcher
+from thicket.operators import index, matcher
 from thicket.operators.parse import spread
 from thicket.plans import sexpr
 
@@ -91,6 +91,34 @@ def drop_files(symbols: DataFrame, present: DataFrame) -> DataFrame:
     return symbols.join(present.select("path").distinct(), "path", "left_semi")
 
 
+def build(files: DataFrame, known: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index and symbols after a walk: files that are new or changed are parsed again, fresh ones keep their symbols, those of files that are gone go.
+
+    An unchanged file isn't parsed; one without definitions has an index entry and no symbols.
+    """
+    due = index.status(files, known).filter("status <> 'fresh'").select(*files.columns)
+    return index.refresh(known, files), upsert(drop_files(symbols, files), extract(due), due)
+
+
+def save(symbols: DataFrame, path: str) -> None:
+    """Write the table beside what is there, and then put it in its place. ``symbols`` may have been read from there."""
+    index.put_in_place(symbols, path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def of_file(symbols: DataFrame, path: str) -> DataFrame:
+    """One file's symbols in order of place."""
+    return symbols.filter(F.col("path") == path).orderBy("start_line", "start_col", "kind", "name")
+
+
+def counts(symbols: DataFrame) -> DataFrame:
+    """How many files and symbols there are: one row."""
+    return symbols.agg(F.countDistinct("path").alias("files"), F.count("*").alias("symbols"))
+
+
 def _folded(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 

@@ -480,3 +480,21 @@ def code_imports_go(spark, sf_dir):
 def code_methods_rust(spark, sf_dir):
     """Functions inside implementations only."""
     return search.search(_code(spark, sf_dir), ["(impl_item body: (declaration_list (function_item name: (identifier) @m)))"], "rust").select("file_path", "matched_text")
+
+
+_BUILT = "doc_id % 7 <> 3 AND doc_id % 5 <> 0"
+
+
+@query("SELECT path, kind, CASE WHEN " + _BUILT + " THEN 'old' ELSE name END AS name FROM (SELECT *, regexp_extract(path, '(\\d+)', 1)::BIGINT AS doc_id FROM (" + _code_rows(" ".join(symbols.KINDS)) + ")) WHERE doc_id % 3 <> 0")
+def symbols_build(spark, sf_dir):
+    """Symbols after a walk: a third of the files is gone, some are new or changed, and what fresh files had stays, here under the name old."""
+    files = _code(spark, sf_dir).withColumn("mtime_secs", F.when(F.col("file_id") % 5 == 0, 1).otherwise(0).cast("long"))
+    earlier = _code(spark, sf_dir).filter("file_id % 7 <> 3")
+    before = symbols.extract(earlier).withColumn("name", F.lit("old"))
+    _, after = symbols.build(files.filter("file_id % 3 <> 0"), index.entries(earlier), before)
+    return after.select("path", "kind", "name")
+
+
+@query("SELECT count(DISTINCT path) AS files, count(*) AS symbols FROM (" + _code_rows(" ".join(symbols.KINDS)) + ")")
+def symbols_counts(spark, sf_dir):
+    return symbols.counts(symbols.extract(_code(spark, sf_dir)))
