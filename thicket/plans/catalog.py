@@ -141,10 +141,10 @@ def conversation_words(spark, sf_dir):
 @query(r"SELECT page_id AS file_id, x AS link, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS x FROM pages) WHERE x <> '' GROUP BY ALL")
 def html_links(spark, sf_dir):
     """Targets of links by page."""
-    files = tables.pages(spark, sf_dir)
+    # pages may share a url, so they go by their ids here
+    files = tables.pages(spark, sf_dir).withColumn("path", F.col("file_id").cast("string"))
     found = search.search(files, ['(attribute (attribute_name) @n (quoted_attribute_value (attribute_value) @href) (#eq? @n "href"))'], "html")
-    named = files.select("file_id", F.col("path").alias("file_path"))
-    return found.filter("capture_name = 'href'").join(named, "file_path").groupBy("file_id", F.col("matched_text").alias("link")).agg(F.count("*").alias("links"))
+    return found.filter("capture_name = 'href'").groupBy(F.col("file_path").cast("long").alias("file_id"), F.col("matched_text").alias("link")).agg(F.count("*").alias("links"))
 
 
 @query(r"SELECT page_id AS file_id, lower(t) AS tag, count(*) AS tags FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6]|title|p|a|li)[\s>]', 1)) AS t FROM pages) GROUP BY ALL")
