@@ -23,3 +23,14 @@ def test_links_of_pages_with_one_url(spark, tmp_path):
     rows = [(1, "http://a/", '<a href="/x">x</a>'), (2, "http://a/", '<a href="/x">x</a><a href="/y">y</a>'), (3, None, '<a href="/z">z</a>'), (4, "http://b/", "<p>none</p>"), (5, "http://c/", None)]
     got = same(spark, tmp_path, "html_links", pages=("page_id long, url string, html string", rows))
     assert sorted(got) == [(1, "/x", 1), (2, "/x", 1), (2, "/y", 1), (3, "/z", 1)]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string"
+
+
+def test_short_texts_are_renewed(spark, tmp_path):
+    """Texts of fewer than three bytes have filters without bits; every kind of entry with each of them."""
+    rows = [(i, text, "en", "s") for i, text in enumerate(["some text", "", "A.", None] * 27, 1)]
+    got = same(spark, tmp_path, "index_refresh", documents=(DOCUMENTS, rows))
+    # columns by name: file_size_bytes, mtime_secs, path, renewed
+    assert {(size, renewed) for size, _, _, renewed in got} == {(size, renewed) for size in (9, 0, 2, None) for renewed in (False, True)}

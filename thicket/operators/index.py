@@ -21,7 +21,7 @@ def entries(files: DataFrame) -> DataFrame:
 def status(files: DataFrame, index: DataFrame) -> DataFrame:
     """All columns of files, with the entry's bits and ``status``: not_indexed, stale or fresh."""
     known = index.select(F.col("path").alias("__path"), F.col("mtime_secs").alias("__mtime"), F.col("file_size_bytes").alias("__size"), "bits")
-    same = (F.col("__mtime") == F.col("mtime_secs")) & (F.col("__size") == F.col("file_size_bytes")) & F.col("bits").isNotNull()
+    same = (F.col("__mtime") == F.col("mtime_secs")) & F.col("__size").eqNullSafe(F.col("file_size_bytes")) & F.col("bits").isNotNull()
     named = F.when(F.col("__path").isNull(), "not_indexed").when(same, "fresh").otherwise("stale")
     return files.join(known, F.col("path") == F.col("__path"), "left").withColumn("status", named).drop("__path", "__mtime", "__size")
 
