@@ -34,3 +34,11 @@ def test_short_texts_are_renewed(spark, tmp_path):
     got = same(spark, tmp_path, "index_refresh", documents=(DOCUMENTS, rows))
     # columns by name: file_size_bytes, mtime_secs, path, renewed
     assert {(size, renewed) for size, _, _, renewed in got} == {(size, renewed) for size in (9, 0, 2, None) for renewed in (False, True)}
+
+
+def test_empty_files_are_skipped(spark, tmp_path):
+    """Empty and missing texts among entries that are fresh, stale or not there."""
+    rows = [(i, text, "en", "s") for i, text in enumerate(["an idiot text", "", "A.", None] * 27, 1)]
+    got = same(spark, tmp_path, "search_counters", documents=(DOCUMENTS, rows))
+    # columns by name: files_skipped, files_walked, files_with_matches, index_updates, matches
+    assert [(r[0], r[1], r[2], r[4]) for r in got] == [(54, 108, 27, 27)]
