@@ -1,6 +1,9 @@
 """Registered queries against their SQL on small odd tables."""
 
+import re
+
 import duckdb
+import pytest
 
 from thicket.plans import catalog
 
@@ -42,3 +45,15 @@ def test_empty_files_are_skipped(spark, tmp_path):
     got = same(spark, tmp_path, "search_counters", documents=(DOCUMENTS, rows))
     # columns by name: files_skipped, files_walked, files_with_matches, index_updates, matches
     assert [(r[0], r[1], r[2], r[4]) for r in got] == [(54, 108, 27, 27)]
+
+
+PARTS = [(1, "large ring"), (2, "ringring"), (2, "ring"), (2, "ring"), (3, "äöü"), (4, "ab"), (5, ""), (6, None), (7, "aaaaaaa"), (None, "ring"), (None, "ring"), (8, "abc"), (8, None)]
+
+
+@pytest.mark.parametrize("name", ["trigram_counts"])
+def test_trigrams_of_odd_parts(spark, tmp_path, name):
+    """Keys that are repeated or missing, names that are short, missing or not ASCII; nothing is grouped by part and trigram, which one task did for all parts."""
+    assert same(spark, tmp_path, name, part=("p_partkey long, p_name string", PARTS))
+    plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Aggregate\(keys=\[(.*?)\]", plan)
+    assert keys and not any("," in k for k in keys)
