@@ -50,7 +50,7 @@ def test_empty_files_are_skipped(spark, tmp_path):
 PARTS = [(1, "large ring"), (2, "ringring"), (2, "ring"), (2, "ring"), (3, "äöü"), (4, "ab"), (5, ""), (6, None), (7, "aaaaaaa"), (None, "ring"), (None, "ring"), (8, "abc"), (8, None)]
 
 
-@pytest.mark.parametrize("name", ["trigram_counts"])
+@pytest.mark.parametrize("name", ["trigram_counts", "trigrams_part"])
 def test_trigrams_of_odd_parts(spark, tmp_path, name):
     """Keys that are repeated or missing, names that are short, missing or not ASCII; nothing is grouped by part and trigram, which one task did for all parts."""
     assert same(spark, tmp_path, name, part=("p_partkey long, p_name string", PARTS))

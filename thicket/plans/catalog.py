@@ -198,8 +198,10 @@ def _part_grams(spark, sf_dir):
 
 @query(_GRAMS + " SELECT trigram, count(*) AS uses, count(DISTINCT p_partkey) AS parts FROM t GROUP BY trigram")
 def trigrams_part(spark, sf_dir):
-    uses = _part_grams(spark, sf_dir).select("p_partkey", F.explode("grams").alias("trigram"))
-    return uses.groupBy("trigram").agg(F.count("*").alias("uses"), F.countDistinct("p_partkey").alias("parts"))
+    """Uses of each trigram, and the parts that hold it: its first use in each counts."""
+    first = F.transform("grams", lambda g, i: F.struct(g.alias("trigram"), ((i == 0) | (F.get("grams", i - 1) != g)).alias("first")))
+    uses = _part_grams(spark, sf_dir).select("p_partkey", F.inline(first))
+    return uses.groupBy("trigram").agg(F.count("*").alias("uses"), F.count_if(F.col("first") & F.col("p_partkey").isNotNull()).alias("parts"))
 
 
 @query(_GRAMS + " SELECT p_partkey, count(*) AS total, count(DISTINCT trigram) AS distinct_trigrams FROM t GROUP BY p_partkey")
